@@ -29,7 +29,7 @@ HASH_BITS = 60
 
 
 def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
-    """``df`` with 0-based column ``name``: the rank by (bucket, order) within group."""
+    """``df`` with 0-based column ``name``, the rank by (bucket, order) within group, and the group's row count ``of``."""
     df = df.withColumn("__bucket", bucket)
     counts = df.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     # One row a bucket: far fewer than rows, and a count each.
@@ -38,6 +38,7 @@ def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[str], n
         *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
         F.col("__bucket").alias("__b"),
         (F.sum("__n").over(w) - F.col("__n")).alias("__before"),
+        F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("of"),
     )
     inner = Window.partitionBy(*group, "__bucket").orderBy(*order)
     numbered = df.withColumn("__in", F.row_number().over(inner) - 1)
@@ -45,7 +46,7 @@ def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[str], n
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     joined = numbered.join(offsets, on).withColumn(name, F.col("__before") + F.col("__in"))
-    return joined.select(*[c for c in df.columns if c != "__bucket"], name)
+    return joined.select(*[c for c in df.columns if c != "__bucket"], name, "of")
 
 
 def interleaved_shards(
@@ -68,12 +69,8 @@ def interleaved_shards(
     ties = ["doc_id", "text_crc32", "size"]
     width = -(-(1 << HASH_BITS) // buckets)
     ranked = _ranked(digest, ["source"], F.expr(f"key div {width}"), ["key", *ties], "rank")
-    per_source = digest.groupBy(F.col("source").alias("__s")).agg(F.count(F.lit(1)).alias("__rows"))
     fractional = materialize(
-        ranked.join(per_source, F.col("source") == F.col("__s"))
-        .withColumn("fraction", (F.col("rank") + 0.5) / F.col("__rows"))
-        .drop("__s", "__rows", "rank"),
-        "shard-fraction",
+        ranked.withColumn("fraction", (F.col("rank") + 0.5) / F.col("of")).drop("rank", "of"), "shard-fraction"
     )
     placed = _ranked(
         fractional, [], F.floor(F.col("fraction") * buckets).cast("long"), ["fraction", "source", "key", *ties], "place"
