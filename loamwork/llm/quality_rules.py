@@ -3,12 +3,13 @@
 Each rule reads counts of a text and votes good (1) or bad (-1), or abstains (0).
 Documents are counted by vote pattern, at most 3^8 rows whatever their number, and
 expectation-maximisation over those counts estimates how often each rule's good and
-bad votes are right, and the share of good documents. A Beta prior that weighs as
-much as the votes themselves holds that a bad vote is mostly right, so that a rule
-whose votes no other rule shares is not read as noise. A document's log odds of
-being good are then a sum over its votes; it is kept where they reach the
-``keep_at`` probability, instead of having to pass all the rules. The base rule
-(too short, or too much repeated) rejects whatever the votes say.
+bad votes are right. The share of good documents is a parameter, and a Beta prior
+of ``PRIOR_WEIGHT`` times a rule's votes holds that a bad vote is mostly right:
+without these two, fault kinds that only one rule sees are read as that rule's
+noise. A document's log odds of being good are the sum of what its votes add; it is
+kept where they reach the ``keep_at`` probability, instead of having to pass all
+the rules. The base rule (too short, or too much repeated) rejects whatever the
+votes say.
 
 All counts are made per row from the whole text, without a shuffle. Repeated
 five-word windows are found by hash (64 bits) within the text: window hashes are
@@ -31,7 +32,9 @@ from .common import SPACE, UPPER, read, text_or_empty, words
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 KEEP_AT = 0.5
+GOOD_SHARE = 0.9
 BAD_VOTE_RIGHT = 0.9
+PRIOR_WEIGHT = 4
 ROUNDS = 50
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -112,27 +115,24 @@ def votes() -> dict[str, Column]:
 
 def fit(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]]]:
     """Prior log odds of good, and what each vote of each rule adds to them, by EM over pattern counts."""
+    prior = math.log(GOOD_SHARE / (1 - GOOD_SHARE))
     if not patterns:
-        return 0.0, []
-    rules, total = len(next(iter(patterns))), sum(patterns.values())
+        return prior, []
+    rules = len(next(iter(patterns)))
     share = {p: 0.02 if min(p) < 0 else 0.98 for p in patterns}
-    prior, adds = 0.0, [{} for _ in range(rules)]
+    adds: list[dict[int, float]] = [{0: 0.0} for _ in range(rules)]
     for _ in range(rounds):
-        good = sum(share[p] * n for p, n in patterns.items())
-        prior = math.log((good + 1) / (total - good + 1))
         for r in range(rules):
-            # The probability of good given the vote, by counts and prior.
-            for v, believed in ((-1, BAD_VOTE_RIGHT), (1, 1 - (total - good + 1) / (total + 2))):
-                cast = sum(n for p, n in patterns.items() if p[r] == v)
-                right = sum((share[p] if v > 0 else 1 - share[p]) * n for p, n in patterns.items() if p[r] == v)
-                accuracy = (right + (cast + 1) * believed) / (2 * cast + 1)
-                accuracy = min(max(accuracy, 1e-6), 1 - 1e-6)
-                adds[r][v] = (1 if v > 0 else -1) * math.log(accuracy / (1 - accuracy)) - prior
-            adds[r][0], adds[r][-1], adds[r][1] = 0.0, min(adds[r][-1], 0.0), max(adds[r][1], 0.0)
+            for vote, believed in ((-1, BAD_VOTE_RIGHT), (1, GOOD_SHARE)):
+                cast = sum(n for p, n in patterns.items() if p[r] == vote)
+                right = sum((share[p] if vote > 0 else 1 - share[p]) * n for p, n in patterns.items() if p[r] == vote)
+                weight = PRIOR_WEIGHT * cast + 1
+                accuracy = (right + weight * believed) / (cast + weight)
+                # The odds of good given the vote alone, over the prior odds; no vote may count against itself.
+                adds[r][vote] = vote * max(0.0, math.log(accuracy / (1 - accuracy)) - vote * prior)
         moved = 0.0
         for p in patterns:
-            odds = prior + sum(adds[r][v] for r, v in enumerate(p))
-            new = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
+            new = 1 / (1 + math.exp(-prior - sum(adds[r][v] for r, v in enumerate(p))))
             moved, share[p] = max(moved, abs(new - share[p])), new
         if moved < 1e-9:
             break
