@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding, simhash
+from . import exact_dedup, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_simhash": simhash.op6_simhash,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_sharding": sharding.op8_sharding,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}
+SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
