@@ -12,8 +12,8 @@ whole copies, floor(rate + u) with u uniform from the document's hash, whose
 expectation is the rate.
 
 The targets are weights of the three domains; the scale is set so that clean prose
-keeps its tokens (its rates come to about 1) and the others are brought to their
-weights. The classifier is fitted on at most ``sample`` labelled documents in hash
+keeps its tokens (its rates come to about 1) and the others are brought down to their
+weights; a domain that has less than its weight is left at what it has. The classifier is fitted on at most ``sample`` labelled documents in hash
 order (a documented bound).
 
 Defined results: null and empty texts have no tokens and get the fitted rate all
@@ -35,10 +35,13 @@ from .common import ascii_lower, materialize, read, text_or_empty, words
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 SAMPLE = 20_000
-WIDTH = 1 << 16
+WIDTH = 1 << 17
+STEM = 5
 STEPS = 32
 STEPS_A_TABLE = 8
 PULL = 0.001
+#: A domain's target is at most this many times the tokens it has: a scarce one isn't repeated to fill its weight.
+MAX_GROWTH = 1.0
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -46,9 +49,11 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Distinct folded words with the punctuation runs apart, so that each is a feature of its own."""
+    """Distinct folded words, punctuation runs apart, and the beginnings of longer words."""
     apart = F.regexp_replace(ascii_lower(text_or_empty(text)), r"([#*$%&|<>!.,;:?]+)", " $1 ")
-    return F.array_distinct(words(apart))
+    found = F.array_distinct(words(apart))
+    stems = F.transform(F.filter(found, lambda w: F.char_length(w) > STEM), lambda w: F.concat(F.lit("\x02"), F.substring(w, 1, STEM)))
+    return F.concat(found, stems)
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -68,7 +73,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_co
         return counted.drop("__tokens").withColumn("posterior", F.array(*[F.lit(1 / len(DOMAINS))] * len(DOMAINS)))
     model = LogisticRegression(
         featuresCol="__features", labelCol="label", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y",
-        family="multinomial", regParam=0.002, maxIter=60,
+        family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=80,
     ).fit(train)
     scored = model.transform(hashing.transform(counted)).withColumn("posterior", vector_to_array("__p"))
     if model.numClasses < len(DOMAINS):
@@ -91,9 +96,9 @@ def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -
     total = float(now["all"] or 0)
     if not total:
         return table, dict.fromkeys(DOMAINS, 0.0)
-    share = [max((now[f"s{d}"] or 0.0) / total, 1e-9) for d in k]
+    share = [max((now[f"s{d}"] or 0.0) / total, 1e-3) for d in k]
     scale = now["s0"] / targets[DOMAINS[0]]
-    goal = [scale * targets[d] for d in DOMAINS]
+    goal = [min(scale * targets[name], MAX_GROWTH * now[f"s{d}"]) for d, name in enumerate(DOMAINS)]
     for step in range(steps):
         error = [(now[f"s{d}"] - goal[d]) / (total * share[d]) for d in k]
         slope = sum((F.lit(error[d]) * F.col(f"p{d}") for d in k), PULL * (F.col("rate") - 1))

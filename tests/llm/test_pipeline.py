@@ -37,7 +37,7 @@ def test_pipeline(spark, tmp_path):
     assert sum(r["length"] for r in pieces) == tokens
 
 
-def test_pipeline_edges(spark, saved, nothing):
+def test_pipeline_edges(spark, saved):
     labels = spark.createDataFrame([(1, 1, 0), (10, 0, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{saved}/labels.parquet", mode="overwrite")
     assert pipeline.run(spark, saved).count() >= 1
