@@ -2,70 +2,25 @@
 
 from __future__ import annotations
 
-import itertools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import materialize, release, scratch_dir
+
+__all__ = ["ascii_lower", "materialize", "read", "release", "scratch_dir", "text_or_empty", "words"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The white space that separates words: space and \x09-\x0D.
 SPACE = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_counter = itertools.count()
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of an input folder, whatever store the path names."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset a local master gets a temporary folder (tests); on a
-    cluster that is an error, for executors would not share the folder.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(spark, "_loamwork_scratch", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="loamwork-")
-        spark._loamwork_scratch = own
-    return own
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared scratch folder and read it back.
-
-    Cuts lineage durably (the files outlive executors) and runs the plan once,
-    where an eager ``checkpoint()`` would run its last stage twice.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/loamwork/{uuid.uuid4().hex[:12]}-{next(_counter)}-{name}"
-    df.write.parquet(path)
-    spark.__dict__.setdefault("_loamwork_written", []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the scratch tables written so far, but for the last ``keep``."""
-    written = spark.__dict__.get("_loamwork_written", [])
-    drop = written[: len(written) - keep]
-    del written[: len(drop)]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in drop:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(c, UPPER, LOWER)

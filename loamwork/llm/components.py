@@ -1,53 +1,5 @@
-"""Connected components of a link table by repeated contraction.
+"""Connected components, shared with the cleaning rules."""
 
-Every round each vertex is mapped to the least vertex of its neighbourhood,
-chains of that mapping are shortened, links are rewritten to the mapped ends and
-made distinct; rounds go on until no link is left. Each round at least halves
-the vertices that still have links. All tables stay distributed; each round is
-written to the shared scratch folder, so lineage stays short and the joins have
-plain exchanges on both sides, which Spark splits where a vertex is hot.
-"""
+from ..functions.components import connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialize
-
-
-def connected_components(links: DataFrame) -> DataFrame:
-    """(vertex, root) for every vertex of ``links`` (a, b): root is the least vertex reachable.
-
-    Vertices are longs. Self links and nulls are dropped; an empty table gives none.
-    """
-    edges = materialize(
-        links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"
-    )
-    total: DataFrame | None = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p")), "parents")
-        step = _shorten(step)
-        total = step if total is None else _follow(total, step)
-        left = edges.join(step.withColumnRenamed("v", "a"), "a").select(F.col("p").alias("a"), "b")
-        moved = materialize(left, "moved").join(step.withColumnRenamed("v", "b"), "b").select("a", F.col("p").alias("b"))
-        moved = moved.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        edges = materialize(moved.distinct(), "links")
-    if total is None:
-        return edges.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
-    return total.select(F.col("v").alias("vertex"), F.col("p").alias("root"))
-
-
-def _follow(first: DataFrame, then: DataFrame) -> DataFrame:
-    """The mapping ``first`` followed by ``then``, which leaves what it doesn't hold."""
-    on = then.select(F.col("v").alias("__v"), F.col("p").alias("__p"))
-    joined = first.join(on, F.col("p") == F.col("__v"), "left")
-    return materialize(joined.select("v", F.coalesce("__p", "p").alias("p")), "mapping")
-
-
-def _shorten(step: DataFrame) -> DataFrame:
-    """Two doublings: chains of up to four steps become one."""
-    for _ in range(2):
-        step = _follow(step, step)
-    return step
+__all__ = ["connected_components"]
