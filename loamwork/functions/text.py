@@ -7,6 +7,7 @@ import random
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the signature scheme: modulus and seed of the hash family.
 PRIME = 4294967311
@@ -79,7 +80,7 @@ def token_sort(a: str, b: str) -> float:
     return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else token_sort(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
