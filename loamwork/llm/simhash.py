@@ -115,13 +115,15 @@ def _near(a: str, b: str, max_bits: int) -> Column:
 def linked_components(marks: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(vertex, root) of all distinct ``marks`` (column mark) that have a link."""
     index = materialize(marks.select("mark", F.explode(variant_keys(F.col("mark"), max_bits)).alias("key")), "variants")
-    hubs = materialize(
-        index.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low < high"), "hubs"
-    )
-    # The members of variants that more than one fingerprint has.
-    met = materialize(index.join(hubs, "key"), "met")
+    buckets = index.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.count(F.lit(1)).alias("n"))
+    hubs = materialize(buckets.filter("low < high"), "hubs")
+    # Most shared variants are chance meetings of two, whose one comparison needs no join.
+    twos = hubs.filter((F.col("n") == 2) & _near("low", "high", max_bits)).select(F.col("low").alias("a"), F.col("high").alias("b"))
+    # The members of variants that more than two fingerprints have.
+    met = materialize(index.join(hubs.filter("n > 2"), "key"), "met")
     star = met.filter(_near("mark", "low", max_bits)).select(F.col("mark").alias("a"), F.col("low").alias("b"))
     star = star.unionByName(met.filter(_near("mark", "high", max_bits)).select(F.col("mark").alias("a"), F.col("high").alias("b")))
+    star = star.unionByName(twos)
     found = materialize(connected_components(star), "star-components")
 
     labelled = materialize(
