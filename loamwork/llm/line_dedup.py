@@ -11,7 +11,7 @@ is removed an equal line stays at an earlier place.
 Windows are compared by two 64-bit hashes (128 bits). Counts are pre-aggregated
 before they shuffle; repeated windows, a small table, are written once and joined
 with the windows on plain exchanges, so that Spark splits a very common window.
-The text shuffles once, in the join by document.
+The text shuffles once, in the join by document; both are merge joins at every size.
 
 Defined results: a null text stays null and an empty one empty; texts of fewer
 than three such lines are never changed; a document without removed lines is
@@ -71,11 +71,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select("w1", "w2", "first"),
         "repeated-windows",
     )
-    met = windows.join(repeats, ["w1", "w2"]).filter(~F.struct("__id", "__mark", "at").eqNullSafe(F.col("first")))
+    met = windows.join(repeats.hint("merge"), ["w1", "w2"]).filter(~F.struct("__id", "__mark", "at").eqNullSafe(F.col("first")))
     starts = met.groupBy(F.col("__id").alias("__i"), F.col("__mark").alias("__m")).agg(F.sort_array(F.collect_set("at")).alias("__s"))
     starts = materialize(starts, "covered")
 
-    joined = keyed.drop(text_col).join(starts, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left")
+    joined = keyed.drop(text_col).join(starts.hint("merge"), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left")
     s, segs = F.col("__s"), F.col("__segs")
     # Overlapping and touching windows merge: a range begins where no window covers the line before.
     begins = F.filter(s, lambda x, i: (i == 0) | (x > F.get(s, i - 1) + WINDOW))
