@@ -37,7 +37,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(spark, keep=1)
     found = simhash.near_duplicates(docs, SHINGLE, MAX_BITS)
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(materialize(stay, "stay"), "doc_id", "left_semi")
+    named = docs.filter("doc_id is not null").join(materialize(stay, "stay").hint("merge"), "doc_id", "left_semi")
     return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
@@ -50,7 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         "copies",
     )
     marked = docs.withColumn("__m", F.xxhash64("text"))
-    joined = marked.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")))
+    joined = marked.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*COLUMNS)
 
 
