@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, UPPER, read, text_or_empty, words
+from .common import SPACE, UPPER, materialize, read, text_or_empty, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -52,12 +52,16 @@ def _repeat_words(w: Column) -> Column:
 
 def _covered(h: Column) -> Column:
     """Words covered by the windows whose hash in array ``h`` occurs twice or more."""
+    def hits(placed: Column) -> Column:
+        # A sorted element repeats if a neighbour has its hash; neighbours come by zipping shifted arrays.
+        none = F.array(F.lit(None).cast("struct<x:bigint,i:int>"))
+        after = F.concat(F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1))), none)
+        zipped = F.slice(F.arrays_zip(F.concat(none, placed).alias("b"), placed.alias("p"), after.alias("a")), F.lit(1), F.size(placed))
+        return F.filter(zipped, lambda z: z["p"]["x"].eqNullSafe(z["b"]["x"]) | z["p"]["x"].eqNullSafe(z["a"]["x"]))
+
     placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    # A sorted element repeats if a neighbour has its hash; neighbours come by zipping shifted arrays.
-    before = F.concat(F.array(F.lit(None).cast("struct<x:bigint,i:int>")), placed)
-    after = F.concat(F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1))), F.array(F.lit(None).cast("struct<x:bigint,i:int>")))
-    zipped = F.slice(F.arrays_zip(before.alias("b"), placed.alias("p"), after.alias("a")), F.lit(1), F.size(h))
-    hit = F.filter(zipped, lambda z: z["p"]["x"].eqNullSafe(z["b"]["x"]) | z["p"]["x"].eqNullSafe(z["a"]["x"]))
+    # The one-element array binds the sorted array, so that it is made once.
+    hit = F.transform(F.array(placed), hits)[0]
     at = F.sort_array(F.transform(hit, lambda z: z["p"]["i"]))
     start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     total = F.aggregate(
@@ -139,13 +143,20 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[flo
     return prior, adds
 
 
-def quality_rules(df: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
-    """``df`` with the counts, base_failed, quality (posterior probability) and kept."""
+def quality_rules(df: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT, carry_text: bool = True) -> DataFrame:
+    """``df`` with the counts, base_failed, quality (posterior probability) and kept.
+
+    The counts are written once to the shared scratch folder, for the rules and the
+    scores both read them; ``carry_text=False`` leaves the text out of that table and
+    of the result.
+    """
     own = {*COUNTS, "base_failed", "quality", "kept"}
     df = df.select(*[c for c in df.columns if c not in own and not c.startswith("__")])
+    carried = [c for c in df.columns if carry_text or c != text_col]
     counted = counts(df, text_col)
+    counted = materialize(counted.select(*carried, *[c for c in counted.columns if c not in df.columns]), "quality-counts")
     rules = votes()
-    tally = counted.select(text_col, *[v.alias(k) for k, v in rules.items()]).groupBy(*rules).agg(F.count(F.lit(1)).alias("n"))
+    tally = counted.select(*[v.alias(k) for k, v in rules.items()]).groupBy(*rules).agg(F.count(F.lit(1)).alias("n"))
     patterns = {tuple(r[k] for k in rules): r["n"] for r in tally.collect()}  # at most 3^8 rows
     prior, adds = fit(patterns)
     odds = F.lit(prior)
@@ -153,9 +164,9 @@ def quality_rules(df: DataFrame, text_col: str = "text", keep_at: float = KEEP_A
         odds = odds + F.when(vote < 0, by[-1]).when(vote > 0, by[1]).otherwise(by[0])
     scored = counted.withColumn("quality", 1 / (1 + F.exp(-odds)))
     scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_at))
-    return scored.select(*df.columns, *COUNTS, "base_failed", "quality", "kept")
+    return scored.select(*carried, *COUNTS, "base_failed", "quality", "kept")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules(docs).select("doc_id", *COUNTS, "base_failed", "kept", "quality")
+    return quality_rules(docs, carry_text=False).select("doc_id", *COUNTS, "base_failed", "kept", "quality")
