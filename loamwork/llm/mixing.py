@@ -35,7 +35,7 @@ from .common import ascii_lower, materialize, read, text_or_empty, words
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 SAMPLE = 20_000
-WIDTH = 1 << 17
+WIDTH = 1 << 15
 STEM = 5
 STEPS = 32
 STEPS_A_TABLE = 8
@@ -73,7 +73,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_co
         return counted.drop("__tokens").withColumn("posterior", F.array(*[F.lit(1 / len(DOMAINS))] * len(DOMAINS)))
     model = LogisticRegression(
         featuresCol="__features", labelCol="label", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y",
-        family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=80,
+        family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=50,
     ).fit(train)
     scored = model.transform(hashing.transform(counted)).withColumn("posterior", vector_to_array("__p"))
     if model.numClasses < len(DOMAINS):
