@@ -22,7 +22,10 @@ do not pass through.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter, deque
 from collections.abc import Iterator
@@ -38,34 +41,61 @@ from .common import materialize, read
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PARTS = 400_000, 1_000_000
+PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
-class WordEncoder:
+class PartEncoder(dict):
+    """Token ids of a word or a part of one, by a cache of at most ``CACHE_PARTS``."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        from tokenizers import Tokenizer
+
+        self.encode = Tokenizer.from_file(path).encode
+
+    def __missing__(self, part: bytes) -> bytes:
+        ids = array("I", self.encode(part.decode(), add_special_tokens=False).ids).tobytes()
+        if len(part) < 64:
+            if len(self) >= CACHE_PARTS:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
+class WordEncoder(dict):
     """Token ids of a text, by a cache of encoded words.
 
     The tokenizer drops white space and never merges across it, so a text's ids
-    are those of its words in turn. At most ``CACHE_WORDS`` words are kept.
+    are those of its words in turn. It folds case and cuts ASCII words without an
+    apostrophe into runs of letters, single digits and runs of other signs, so those
+    are encoded part by part: the same parts make up many words that occur once. At
+    most ``CACHE_WORDS`` words are kept, but for those of one text.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.encode = Tokenizer.from_file(path).encode
-        self.cache: dict[str, bytes] = {}
+        super().__init__()
+        self.parts = PartEncoder(path)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isascii() and b"'" not in word:
+            ids = b"".join(map(self.parts.__getitem__, PARTS(word.lower())))
+        else:
+            ids = self.parts[word]
+        if len(word) < 64:
+            self[word] = ids
+        return ids
 
     def ids(self, text: str) -> np.ndarray:
-        cache, found = self.cache, []
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for word in text.encode().split():  # by ASCII white space
-            ids = cache.get(word)
-            if ids is None:
-                ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-                if len(word) < 64:
-                    cache[word] = ids
-            found.append(ids)
-        return np.frombuffer(b"".join(found), dtype="<u4")
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, text.encode().split())), dtype="<u4")  # words by ASCII white space
+
+
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, whose tasks share its cache."""
+    return WordEncoder(path)
 
 
 def default_tokenizer() -> str:
@@ -81,12 +111,12 @@ PIECES = pa.schema(
 
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ranks, task = WordEncoder(path), Counter(), TaskContext.get().partitionId()
+        encode, ranks, task = encoder(path).ids, Counter(), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             out: list[list] = [[] for _ in PIECES]
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.concatenate([encoder.ids(text or ""), end])
+                ids = np.concatenate([encode(text or ""), end])
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     for to, x in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), task, ranks[len(part)]), strict=True):
