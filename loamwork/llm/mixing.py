@@ -13,30 +13,34 @@ expectation is the rate.
 
 The targets are weights of the three domains; the scale is set so that clean prose
 keeps its tokens (its rates come to about 1) and the others are brought down to their
-weights; a domain that has less than its weight is left at what it has. The classifier is fitted on at most ``sample`` labelled documents in hash
-order (a documented bound).
+weights; a domain that has less than its weight is left at what it has. The
+classifier is fitted on at most ``sample`` labelled documents in hash order (a
+documented bound). Tokens are the runs of characters other than white space and
+``.,;:?!``.
 
 Defined results: null and empty texts have no tokens and get the fitted rate all
 the same; null doc_ids hash by their text; without labelled rows posteriors are
-uniform; labels with nulls are left out; repeated rows get equal rates; an empty
+uniform, with labels of one domain only they are its own; labels with nulls are left out; repeated rows get equal rates; an empty
 table gives no rows; clashing names are replaced.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, read, text_or_empty, words
+from .common import materialize, read, text_or_empty
 
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 SAMPLE = 20_000
 WIDTH = 1 << 15
 STEM = 5
+SEPARATORS = r"[\x20\x09-\x0D.,;:?!]+"
 STEPS = 32
 STEPS_A_TABLE = 8
 PULL = 0.001
@@ -48,37 +52,66 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic > 0, 2).when(quality > 0, 0).otherwise(1).cast("double")
 
 
-def _tokens(text: Column) -> Column:
-    """Distinct folded words, punctuation runs apart, and the beginnings of longer words."""
-    apart = F.regexp_replace(ascii_lower(text_or_empty(text)), r"([#*$%&|<>!.,;:?]+)", " $1 ")
-    found = F.array_distinct(words(apart))
-    stems = F.transform(F.filter(found, lambda w: F.char_length(w) > STEM), lambda w: F.concat(F.lit("\x02"), F.substring(w, 1, STEM)))
-    return F.concat(found, stems)
+def tokens(text: Column) -> Column:
+    """The folded words of a text: runs of characters other than white space and sentence punctuation."""
+    return F.array_remove(F.split(F.lower(text_or_empty(text)), SEPARATORS), "")
+
+
+def hashes(distinct: Column) -> Column:
+    """Hashes of distinct words and of their beginnings."""
+    return F.concat(F.transform(distinct, lambda w: F.hash(w)), F.transform(distinct, lambda w: F.hash(F.substring(w, 1, STEM), F.lit(STEM))))
+
+
+def places(distinct: Column) -> Column:
+    """Distinct places of the words' hashes in a vector of HashingTF, which hashes numbers as ``hash`` does."""
+    return F.array_distinct(F.transform(hashes(distinct), lambda h: F.pmod(F.hash(h), F.lit(WIDTH))))
+
+
+def _sum_at(weights: Column, at: Column) -> Column:
+    return F.aggregate(at, F.lit(0.0), lambda acc, i: acc + weights[i])
+
+
+def _softmax(numbers: Column, model, present: list[int], counted: DataFrame) -> DataFrame:
+    """``counted`` with array ``posterior``. A class's score against the first one is a sum of weights, looked up in an array.
+
+    The arrays have ``WIDTH`` weights whatever the input; they are the rows of a table and reach tasks as scalar subqueries.
+    """
+    spark, first, scores = counted.sparkSession, present[0], {present[0]: F.lit(0.0)}
+    matrix, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    for k in present[1:]:
+        text = json.dumps([float(f"{x:.7g}") for x in matrix[k] - matrix[first]])
+        weights = materialize(spark.range(0, 1, 1, 1).select(F.from_json(F.lit(text), "array<double>").alias("w")), "weights")
+        counted = counted.withColumn(f"__w{k}", weights.scalar())
+        total = F.lit(float(intercepts[k] - intercepts[first])) + _sum_at(F.col(f"__w{k}"), numbers)
+        scores[k] = F.greatest(F.lit(-300.0), F.least(F.lit(300.0), total))
+    counted = counted.select(*[c for c in counted.columns if not c.startswith("__w")], *[F.exp(v).alias(f"__e{k}") for k, v in scores.items()])
+    whole = sum((F.col(f"__e{k}") for k in present[1:]), F.col(f"__e{first}"))
+    posterior = F.array(*[F.col(f"__e{d}") / whole if d in present else F.lit(0.0) for d in range(len(DOMAINS))])
+    return counted.withColumn("posterior", posterior).drop(*[f"__e{k}" for k in present])
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with array ``posterior`` by domain and ``n_tokens`` (words)."""
+    """``docs`` without the text, with array ``posterior`` by domain and ``n_tokens`` (words)."""
     good = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     picked = good.select(F.col("doc_id").alias("__label_id"), domain(F.col("quality"), F.col("toxic")).alias("label"))
     picked = picked.orderBy(F.xxhash64("__label_id"), "__label_id", "label").limit(sample)
-    hashing = HashingTF(inputCol="__tokens", outputCol="__features", numFeatures=WIDTH, binary=True)
     labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(
         F.broadcast(picked), F.col("__id") == F.col("__label_id")
     )
-    train = materialize(hashing.transform(labelled.select("label", _tokens(F.col("__text")).alias("__tokens"))).select("label", "__features"), "labelled")
-    text = F.col(text_col)
-    counted = docs.withColumns({"n_tokens": F.size(words(text_or_empty(text))).cast("long"), "__tokens": _tokens(text)})
-    present = {r["label"] for r in train.select("label").distinct().collect()}  # at most three rows
-    if not present:
-        return counted.drop("__tokens").withColumn("posterior", F.array(*[F.lit(1 / len(DOMAINS))] * len(DOMAINS)))
+    labelled = labelled.withColumn("__words", F.array_distinct(tokens(F.col("__text"))))
+    hashing = HashingTF(inputCol="__hashes", outputCol="__features", numFeatures=WIDTH, binary=True)
+    train = materialize(hashing.transform(labelled.select("label", hashes(F.col("__words")).alias("__hashes"))).select("label", "__features"), "labelled")
+    present = sorted(int(r["label"]) for r in train.select("label").distinct().collect())  # at most three rows
+    counted = docs.withColumn("__tokens", tokens(F.col(text_col))).drop(text_col)
+    counted = counted.withColumns({"n_tokens": F.size("__tokens").cast("long"), "__words": F.array_distinct("__tokens")}).drop("__tokens")
+    if len(present) < 2:
+        even = [1 / len(DOMAINS)] * len(DOMAINS) if not present else [float(d in present) for d in range(len(DOMAINS))]
+        return counted.drop("__words").withColumn("posterior", F.array(*map(F.lit, even)))
     model = LogisticRegression(
-        featuresCol="__features", labelCol="label", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y",
-        family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=50,
+        featuresCol="__features", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=50,
     ).fit(train)
-    scored = model.transform(hashing.transform(counted)).withColumn("posterior", vector_to_array("__p"))
-    if model.numClasses < len(DOMAINS):
-        scored = scored.withColumn("posterior", F.concat("posterior", F.array(*[F.lit(0.0)] * (len(DOMAINS) - model.numClasses))))
-    return scored.drop("__tokens", "__features", "__p", "__raw", "__y")
+    counted = counted.withColumn("__numbers", places(F.col("__words"))).drop("__words")
+    return _softmax(F.col("__numbers"), model, present, counted).drop("__numbers")
 
 
 def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[DataFrame, dict[str, float]]:
@@ -113,9 +146,9 @@ def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, mark (a hash of the text), n_tokens, p0..p2, rate and copies of every row of ``docs``."""
-    scored = posteriors(docs.select(id_col, text_col), labels, text_col=text_col, id_col=id_col)
-    table = scored.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), "n_tokens",
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    table = posteriors(picked, labels).select(
+        "doc_id", "mark", "n_tokens",
         *[F.col("posterior")[d].alias(f"p{d}") for d in range(len(DOMAINS))],
     )
     rates, _ = fit_rates(materialize(table, "posteriors"), targets or TARGETS)
