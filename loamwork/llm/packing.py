@@ -42,20 +42,32 @@ from .common import materialize, read
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS, CACHE_PARTS = 400_000, 1_000_000
+#: Printable ASCII without the apostrophe.
+PLAIN = re.compile(rb"[!-&(-~]+").fullmatch
 PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
 class PartEncoder(dict):
-    """Token ids of a word or a part of one, by a cache of at most ``CACHE_PARTS``."""
+    """Token ids of parts of words, by a cache of at most ``CACHE_PARTS``.
+
+    A part is one piece of the tokenizer's own cut and of printable ASCII signs, which
+    its byte alphabet leaves as they are, so only the merges are left to do.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.holds_added = re.compile(b"|".join(map(re.escape, added)) or b"(?!)").search
+
+    def whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, part: bytes) -> bytes:
-        ids = array("I", self.encode(part.decode(), add_special_tokens=False).ids).tobytes()
+        ids = array("I", [t.id for t in self.merge(part.decode())]).tobytes()
         if len(part) < 64:
             if len(self) >= CACHE_PARTS:
                 self.clear()
@@ -69,8 +81,8 @@ class WordEncoder(dict):
     The tokenizer drops white space and never merges across it, so a text's ids
     are those of its words in turn. It folds case and cuts ASCII words without an
     apostrophe into runs of letters, single digits and runs of other signs, so those
-    are encoded part by part: the same parts make up many words that occur once. At
-    most ``CACHE_WORDS`` words are kept, but for those of one text.
+    are encoded part by part: the same parts make up many words that occur once.
+    Words that hold an added token, or other characters, are encoded whole. At most ``CACHE_WORDS`` words are kept, but for those of one text.
     """
 
     def __init__(self, path: str):
@@ -78,10 +90,11 @@ class WordEncoder(dict):
         self.parts = PartEncoder(path)
 
     def __missing__(self, word: bytes) -> bytes:
-        if word.isascii() and b"'" not in word:
-            ids = b"".join(map(self.parts.__getitem__, PARTS(word.lower())))
+        low = word.lower()
+        if PLAIN(low) and not self.parts.holds_added(low):
+            ids = b"".join(map(self.parts.__getitem__, PARTS(low)))
         else:
-            ids = self.parts[word]
+            ids = self.parts.whole(word)
         if len(word) < 64:
             self[word] = ids
         return ids
