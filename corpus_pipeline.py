@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.llm import line_dedup as lines
-from loamwork.llm import mixing, packing, quality_rules, simhash
+from loamwork.llm import mixing, near_text, packing, quality_rules
 from loamwork.llm.common import materialize, read, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near duplicates are taken over five words, and at this many differing bits of 64.
+#: Near duplicates share this part of their five-word shingles.
 SHINGLE = 5
-MAX_BITS = 7
+SIMILARITY = 0.8
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least doc_id, of each component; rows without a doc_id stay."""
     release(spark, keep=1)
-    found = simhash.near_duplicates(docs, SHINGLE, MAX_BITS)
+    found = near_text.near_components(docs, SHINGLE, SIMILARITY)
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(materialize(stay, "stay").hint("merge"), "doc_id", "left_semi")
     return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))

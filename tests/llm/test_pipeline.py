@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 import corpus_pipeline as pipeline
-from loamwork.llm import packing
+from loamwork.llm import near_text, packing
 
 PATH = "/root/testdata/sf0.01"
 
@@ -41,3 +41,48 @@ def test_pipeline_edges(spark, saved):
     labels = spark.createDataFrame([(1, 1, 0), (10, 0, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{saved}/labels.parquet", mode="overwrite")
     assert pipeline.run(spark, saved).count() >= 1
+
+
+def test_near_stage_goes_by_exact_similarity(spark):
+    """Pairs on both sides of five-word Jaccard 0.8, a chain, and the pairs of sf0.01 against brute force."""
+    words = [f"w{i}" for i in range(230)]
+
+    def edited(*places):
+        return " ".join("edit%d" % i if i in places else w for i, w in enumerate(words))
+
+    rows = [
+        (1, edited()), (2, edited(*range(10, 210, 40))),  # 5 edits: 201 of 251 shared, 0.80
+        (3, " ".join(f"v{i}" for i in range(230))), (4, " ".join("x" if i in (20, 60, 100, 140, 180, 220) else f"v{i}" for i in range(230))),  # 6: 0.77
+        (5, "one two"), (6, "ONE  two"), (7, None), (8, " "), (None, edited()), (9, "one two three"),
+    ]
+    got = near_text.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"]} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9}
+    assert len(got) == len(rows)
+
+
+def test_near_stage_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{PATH}/documents.parquet").filter("doc_id is not null")
+    grams = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r["text"] or "").encode().lower().split()
+        grams[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in grams}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(grams)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = grams[i], grams[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
+                both = len(a & b)
+                if not a and not b or both >= 0.8 * (len(a) + len(b) - both):
+                    x, y = find(i), find(j)
+                    root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_components(docs, 5).collect()}
+    assert got == {i: find(i) for i in ids}
+    kept = {r["doc_id"] for r in pipeline.near_stage(spark, docs, PATH).collect()}
+    assert kept == {i for i in ids if find(i) == i}
