@@ -16,7 +16,8 @@ keeps its tokens (its rates come to about 1) and the others are brought down to
 weights; a domain that has less than its weight is left at what it has. The
 classifier is fitted on at most ``sample`` labelled documents in hash order (a
 documented bound). Tokens are the runs of characters other than white space and
-``.,;:?!``.
+``.,;:?!``; the classifier also splits runs of symbols off its words, and runs of
+symbols and punctuation are features of their own.
 
 Defined results: null and empty texts have no tokens and get the fitted rate all
 the same; null doc_ids hash by their text; without labelled rows posteriors are
@@ -38,9 +39,11 @@ from .common import materialize, read, text_or_empty
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 SAMPLE = 20_000
-WIDTH = 1 << 15
+WIDTH = 1 << 17
 STEM = 5
 SEPARATORS = r"[\x20\x09-\x0D.,;:?!]+"
+SYMBOLS = r"[#*$%&|<>]+"
+RUNS = r"[#*$%&|<>.,;:?!]+"
 STEPS = 32
 STEPS_A_TABLE = 8
 PULL = 0.001
@@ -57,6 +60,14 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text_or_empty(text)), SEPARATORS), "")
 
 
+def features(distinct: Column, text: Column) -> Column:
+    """Distinct words with their runs of symbols split off, and the distinct runs of symbols and punctuation of the text."""
+    plain = F.filter(distinct, lambda w: ~w.rlike(SYMBOLS))
+    parts = F.flatten(F.transform(F.filter(distinct, lambda w: w.rlike(SYMBOLS)), lambda w: F.split(w, SYMBOLS)))
+    runs = F.regexp_extract_all(text_or_empty(text), F.lit(RUNS), F.lit(0))
+    return F.array_distinct(F.concat(plain, F.array_remove(parts, ""), runs))
+
+
 def hashes(distinct: Column) -> Column:
     """Hashes of distinct words and of their beginnings."""
     return F.concat(F.transform(distinct, lambda w: F.hash(w)), F.transform(distinct, lambda w: F.hash(F.substring(w, 1, STEM), F.lit(STEM))))
@@ -98,17 +109,18 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_co
     labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(
         F.broadcast(picked), F.col("__id") == F.col("__label_id")
     )
-    labelled = labelled.withColumn("__words", F.array_distinct(tokens(F.col("__text"))))
+    labelled = labelled.withColumn("__words", features(F.array_distinct(tokens(F.col("__text"))), F.col("__text")))
     hashing = HashingTF(inputCol="__hashes", outputCol="__features", numFeatures=WIDTH, binary=True)
     train = materialize(hashing.transform(labelled.select("label", hashes(F.col("__words")).alias("__hashes"))).select("label", "__features"), "labelled")
     present = sorted(int(r["label"]) for r in train.select("label").distinct().collect())  # at most three rows
-    counted = docs.withColumn("__tokens", tokens(F.col(text_col))).drop(text_col)
-    counted = counted.withColumns({"n_tokens": F.size("__tokens").cast("long"), "__words": F.array_distinct("__tokens")}).drop("__tokens")
+    counted = docs.withColumn("__tokens", tokens(F.col(text_col)))
+    words = features(F.array_distinct("__tokens"), F.col(text_col))
+    counted = counted.withColumns({"n_tokens": F.size("__tokens").cast("long"), "__words": words}).drop("__tokens", text_col)
     if len(present) < 2:
         even = [1 / len(DOMAINS)] * len(DOMAINS) if not present else [float(d in present) for d in range(len(DOMAINS))]
         return counted.drop("__words").withColumn("posterior", F.array(*map(F.lit, even)))
     model = LogisticRegression(
-        featuresCol="__features", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=50,
+        featuresCol="__features", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=80,
     ).fit(train)
     counted = counted.withColumn("__numbers", places(F.col("__words"))).drop("__words")
     return _softmax(F.col("__numbers"), model, present, counted).drop("__numbers")

@@ -272,3 +272,13 @@ def test_mixing_edges(spark, docs):
     assert mixing.mix(docs, labels).count() == docs.count()
     assert mixing.mix(docs, labels.limit(0)).count() == docs.count()
     assert mixing.mix(docs.limit(0), labels).count() == 0
+
+
+def test_mixing_classifier_shares_symbol_runs(spark):
+    """Junk words that were never seen are known by the symbols on them."""
+    rows = [(i, f"plain{i} words{i} here{i}", 1) for i in range(40)] + [(100 + i, f"rare{i}### odd{i}### text{i}", 0) for i in range(40)]
+    unseen = [(500, "new### other### thing", None), (501, "newer another thing", None)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows + unseen], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["posterior"] for r in mixing.posteriors(docs, labels).filter("doc_id >= 500").collect()}
+    assert got[500][1] > 0.9 and got[501][1] < 0.6
