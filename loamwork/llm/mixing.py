@@ -12,8 +12,10 @@ whole copies, floor(rate + u) with u uniform from the document's hash, whose
 expectation is the rate.
 
 The targets are weights of the three domains; the scale is set so that clean prose
-keeps its tokens (its rates come to about 1) and the others are brought down to their
-weights; a domain that has less than its weight is left at what it has. The
+keeps its tokens (its rates come to about 1) and the others are brought to their
+weights: down where they have more, and up, by rates above 1, where they have less.
+Achieved shares are compared with the wanted ones, and a miss (a domain without any
+tokens cannot be filled) is logged as a warning. The
 classifier is fitted on at most ``sample`` labelled documents in hash order (a
 documented bound). Tokens are the runs of characters other than white space and
 ``.,;:?!``; the classifier also splits runs of symbols off its words, and runs of
@@ -28,6 +30,7 @@ table gives no rows; clashing names are replaced.
 from __future__ import annotations
 
 import json
+import logging
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -47,8 +50,10 @@ RUNS = r"[#*$%&|<>.,;:?!]+"
 STEPS = 32
 STEPS_A_TABLE = 8
 PULL = 0.001
-#: A domain's target is at most this many times the tokens it has: a scarce one isn't repeated to fill its weight.
-MAX_GROWTH = 1.0
+#: A warning is given where a domain's achieved share is this far from the wanted one.
+MISS = 0.005
+
+log = logging.getLogger(__name__)
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -127,7 +132,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_co
 
 
 def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[DataFrame, dict[str, float]]:
-    """``table`` (n_tokens, p0..p2) with a ``rate`` a row; the targets in tokens, by domain.
+    """``table`` (n_tokens, p0..p2) with a ``rate`` a row; the achieved share of the tokens, by domain.
 
     Minimises sum_d ((sum_i r_i n_i p_id - T_d) / S)^2 / (2 q_d) + PULL / 2 * sum_i (n_i / S) (r_i - 1)^2
     over r >= 0, with S all tokens and q_d the share of the domain. The gradient is
@@ -141,9 +146,10 @@ def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -
     total = float(now["all"] or 0)
     if not total:
         return table, dict.fromkeys(DOMAINS, 0.0)
-    share = [max((now[f"s{d}"] or 0.0) / total, 1e-3) for d in k]
-    scale = now["s0"] / targets[DOMAINS[0]]
-    goal = [min(scale * targets[name], MAX_GROWTH * now[f"s{d}"]) for d, name in enumerate(DOMAINS)]
+    share = [max((now[f"s{d}"] or 0.0) / total, 1e-6) for d in k]
+    # Without clean tokens, or a weight for them, all tokens are kept.
+    scale = now["s0"] / targets[DOMAINS[0]] if now["s0"] and targets[DOMAINS[0]] else total / sum(targets.values())
+    goal = [scale * targets[name] for name in DOMAINS]
     for step in range(steps):
         error = [(now[f"s{d}"] - goal[d]) / (total * share[d]) for d in k]
         slope = sum((F.lit(error[d]) * F.col(f"p{d}") for d in k), PULL * (F.col("rate") - 1))
@@ -153,7 +159,12 @@ def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -
         now = table.agg(*sums).first()
         if max(abs(now[f"s{d}"] - goal[d]) for d in k) <= 1e-9 * total:
             break
-    return table, dict(zip(DOMAINS, goal, strict=True))
+    kept, whole = sum(now[f"s{d}"] or 0.0 for d in k), sum(targets.values())
+    shares = {name: (now[f"s{d}"] or 0.0) / kept if kept else 0.0 for d, name in enumerate(DOMAINS)}
+    missed = {name: (round(shares[name], 4), targets[name] / whole) for name in DOMAINS if abs(shares[name] - targets[name] / whole) > MISS}
+    if missed:
+        log.warning("mixing misses its weights (achieved, wanted): %s", missed)
+    return table, shares
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

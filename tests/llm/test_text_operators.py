@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loamwork.llm import html_text, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules
 from loamwork.llm.queries import SQL
@@ -282,3 +283,18 @@ def test_mixing_classifier_shares_symbol_runs(spark):
     labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r["posterior"] for r in mixing.posteriors(docs, labels).filter("doc_id >= 500").collect()}
     assert got[500][1] > 0.9 and got[501][1] < 0.6
+
+
+def test_mixing_fills_scarce_domains(spark, caplog):
+    rows = [(i, i, 100, p0, p1, p2) for i, (p0, p1, p2) in enumerate([(0.98, 0.01, 0.01)] * 900 + [(0.1, 0.9, 0.0)] * 6 + [(0.2, 0.0, 0.8)] * 240)]
+    table = spark.createDataFrame(rows, "doc_id long, mark long, n_tokens long, p0 double, p1 double, p2 double")
+    for targets in (mixing.TARGETS, {"clean": 0.5, "low": 0.25, "toxic": 0.25}):
+        fitted, shares = mixing.fit_rates(table, targets)
+        got = fitted.collect()
+        totals = [sum(r["rate"] * r["n_tokens"] * r[f"p{d}"] for r in got) for d in range(3)]
+        for d, name in enumerate(mixing.DOMAINS):
+            assert abs(totals[d] / sum(totals) - targets[name]) < 0.005 and abs(shares[name] - totals[d] / sum(totals)) < 1e-6
+        assert min(r["rate"] for r in got) >= 0
+    assert not caplog.records
+    none = table.withColumns({"p0": F.col("p0") + F.col("p1"), "p1": F.lit(0.0)})
+    assert mixing.fit_rates(none, mixing.TARGETS)[1]["low"] == 0 and "low" in caplog.text
