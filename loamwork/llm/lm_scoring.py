@@ -13,9 +13,10 @@ whether it starts a word). The model:
   one starting point, then by every task on its own training documents (one window
   in ``TRAIN_EVERY``), and the tasks' weights are averaged by their token counts.
 * A word's probability is that of its subwords and of the word ending there, given
-  what precedes: P(subwords) x P(start after) / P(start before). It is mixed with
-  the word's discounted corpus share: MU ((c - D)+ / N + D V / N P) + (1 - MU) P,
-  which sums to one.
+  what precedes: P(subwords) x P(start after) / P(start before). Words counted at
+  most ``RARE`` times, and only they, are backed off to their corpus share: with L
+  the share of such words in the training tokens, a word has (1 - L) P, and a rare
+  one c / N besides, which sums to one.
 
 Texts are scored in overlapping windows of ``WINDOW`` positions that advance by
 ``STRIDE``: the first scores all its positions, later ones the last STRIDE, so that
@@ -47,9 +48,9 @@ from pyspark.sql import functions as F
 from .common import materialize, read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CLASSES = 32
-STARTS = 16
-WIDTH = 8
+CLASSES = 256
+STARTS = 160
+WIDTH = 16
 BUCKETS = 1024
 WINDOW = 24
 STRIDE = 16
@@ -60,8 +61,7 @@ WARM_DOCS = 400
 RATE = 0.01
 HOT_WORDS = 200_000
 CACHE = 400_000
-MU = 0.85
-DISCOUNT = 0.75
+RARE = 5
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -294,7 +294,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None) -> dict:
         learned.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")), "words"
     )
     tests = [F.count_if(F.col("c") >= (1 << j)).alias(f"j{j}") for j in range(44)]
-    sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), *tests).first()
+    sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("c") <= RARE, F.col("c"))).alias("rare"), *tests).first()
     ends = learned.count()
     hot_from = next(1 << j for j in range(44) if sums[f"j{j}"] <= HOT_WORDS)
     hot = counts.filter((F.col("c") >= hot_from) & (F.octet_length("word") <= 64)).toArrow()
@@ -324,6 +324,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None) -> dict:
         "path": path, "weights": weights, "classes": classes, "shares": shares, "counts": counts,
         "hot": dict(zip(hot.column("word").cast(pa.binary()).to_pylist(), hot.column("c").to_pylist(), strict=True)),
         "n": int(sums["n"] or 0) + ends, "v": int(sums["v"]) + (ends > 0), "ends": ends,
+        "rare": int(sums["rare"] or 0) + (ends if ends <= RARE else 0),
     }
 
 
@@ -343,9 +344,9 @@ def subword_scores(model: dict, texts: list[np.ndarray], end: int) -> tuple[np.n
 
 
 def mixed_log10(model: dict, c: np.ndarray, log_sub: np.ndarray) -> np.ndarray:
-    n, v = max(1, model["n"]), model["v"]
-    lead = MU * DISCOUNT * v / n + (1 - MU) if model["n"] else 1.0
-    return np.log10(np.maximum(MU * np.maximum(c - DISCOUNT, 0.0) / n + lead * np.exp(log_sub), 1e-300))
+    n = max(1, model["n"])
+    backed = np.where(c <= RARE, c, 0.0) / n
+    return np.log10(np.maximum(backed + (1 - model["rare"] / n) * np.exp(log_sub), 1e-300))
 
 
 SCORED = (
@@ -415,8 +416,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     n, v = model["n"], model["v"]
     cold = passed.select("row", F.explode(F.arrays_zip("words", "logs")).alias("w")).select("row", "w.words", "w.logs")
     c = F.coalesce("c", F.lit(0))
-    lead = MU * DISCOUNT * v / max(1, n) + (1 - MU) if n else 1.0
-    share = MU * F.greatest(c - DISCOUNT, F.lit(0.0)) / max(1, n) + lead * F.exp("logs")
+    share = F.when(c <= RARE, c).otherwise(0) / max(1, n) + (1 - model["rare"] / max(1, n)) * F.exp("logs")
     tail = (
         cold.join(counts, F.col("words") == F.col("word"), "left")
         .groupBy(F.col("row").alias("__row"))

@@ -226,6 +226,14 @@ def test_lm_words_sum_to_at_most_one(spark):
     assert 0.5 < total < 1.0001
 
 
+def test_lm_score_follows_attention():
+    """Without probability from attention a frequent word has none; only a rare one keeps its back-off."""
+    model = {"n": 1000, "v": 50, "rare": 100}
+    frequent, rare = (lm_scoring.mixed_log10(model, np.array([c]), np.array([-1.0, -20.0])) for c in (200.0, 2.0))
+    assert frequent[0] - frequent[1] > 8
+    assert rare[0] - rare[1] < 4
+
+
 # --- classifier and mixing
 
 
