@@ -10,8 +10,8 @@ whether it starts a word). The model:
 * One causal self-attention layer predicts the class of the next subword; within
   its class a subword has its corpus share. Attention, embeddings and output are
   trained by Adam: first on ``WARM_DOCS`` training documents on the driver, to have
-  one starting point, then by every task on its own training documents (one window
-  in ``TRAIN_EVERY``), and the tasks' weights are averaged by their token counts.
+  one starting point, then by every task on all windows of its own training documents
+  (one in ``TRAIN_EVERY``), and the tasks' weights are averaged by their token counts.
 * A word's probability is that of its subwords and of the word ending there, given
   what precedes: P(subwords) x P(start after) / P(start before). Words counted at
   most ``RARE`` times, and only they, are backed off to their corpus share: with L
@@ -56,7 +56,7 @@ WINDOW = 24
 STRIDE = 16
 BATCH = 512
 TRAIN_BATCH = 128
-TRAIN_EVERY = 8
+TRAIN_EVERY = 1
 WARM_DOCS = 400
 RATE = 0.01
 HOT_WORDS = 200_000

@@ -226,6 +226,15 @@ def test_lm_words_sum_to_at_most_one(spark):
     assert 0.5 < total < 1.0001
 
 
+def test_lm_training_reaches_every_position():
+    sub = lm_scoring.Subwords(lm_scoring.default_vocabulary())
+    texts = ["a short text", "another one", None, " ".join(f"word{i}" for i in range(300))]
+    positions = sum(len(lm_scoring._text_ids(sub, {}, t)) for t in texts)
+    classes = np.zeros(sub.end + 1, dtype=np.int32)
+    seen = lm_scoring.train_local(lm_scoring.initial(), iter(texts), lm_scoring.default_vocabulary(), classes, lm_scoring.TRAIN_EVERY)[1]
+    assert seen == positions
+
+
 def test_lm_score_follows_attention():
     """Without probability from attention a frequent word has none; only a rare one keeps its back-off."""
     model = {"n": 1000, "v": 50, "rare": 100}
