@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.components import connected_components
+from ..functions.components import bucket_links, connected_components
 from ..functions.scratch import materialize
 from ..functions.stats import clean_nan, col
 from ..model import Decision, is_string
@@ -75,8 +75,9 @@ def near_duplicate_links(docs: DataFrame, threshold: float, permutations: int) -
     """(a, b) of the verified pairs of docs (id long, doc string), by MinHash bands.
 
     Rows with equal text are one; their links follow from the first of them.
-    Buckets of up to ``BUCKET_PAIRS`` texts are compared pairwise, larger ones with
-    their least text, so that no bucket emits all its pairs.
+    Buckets of up to ``BUCKET_PAIRS`` texts are compared pairwise. Of larger ones only
+    members of different components are, so that their links give the same clusters
+    without emitting all pairs.
     """
     bands, rows = X.band_shape(permutations, threshold)
     texts = materialize(docs.groupBy("doc").agg(F.min("id").alias("id")), "texts")
@@ -84,20 +85,27 @@ def near_duplicate_links(docs: DataFrame, threshold: float, permutations: int) -
     signed = grams.select("id", X.minhash(F.transform("grams", X.token_hash), permutations).alias("sig"))
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * rows + r] for r in range(rows)]) for b in range(bands)])
     index = materialize(signed.select("id", F.explode(keys).alias("key")), "bands")
-    sizes = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1"), "buckets")
+    sizes = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     met = index.join(sizes, "key")
     small = met.filter(F.col("n") <= BUCKET_PAIRS)
     pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
-    stars = met.filter((F.col("n") > BUCKET_PAIRS) & (F.col("id") > F.col("hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    pairs = materialize(pairs.unionByName(stars).distinct(), "candidates")
+    pairs = materialize(pairs.distinct(), "candidates")
     left, right = (grams.select(F.col("id").alias(s), F.col("doc").alias(f"doc_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "ab")
-    joined = pairs.join(left, "a").join(right, "b").withColumn("j", X.jaccard(F.col("grams_a"), F.col("grams_b")))
-    sure = joined.filter(F.col("j") >= threshold).select("a", "b")
-    # The slower ratio is only computed where the sets don't decide.
-    other = joined.filter(F.col("j") < threshold).filter(X.token_sort_ratio("doc_a", "doc_b") / 100 >= threshold).select("a", "b")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(left, "a").join(right, "b").withColumn("j", X.jaccard(F.col("grams_a"), F.col("grams_b")))
+        sure = joined.filter(F.col("j") >= threshold).select("a", "b")
+        # The slower ratio is only computed where the sets don't decide.
+        other = joined.filter(F.col("j") < threshold).filter(X.token_sort_ratio("doc_a", "doc_b") / 100 >= threshold).select("a", "b")
+        return sure.unionByName(other)
+
+    found = materialize(verify(pairs), "small")
+    large = materialize(met.filter(F.col("n") > BUCKET_PAIRS).select("key", "id"), "large")
+    if not large.isEmpty():
+        found = bucket_links(large, verify, known=found)
     equal = docs.join(texts.select("doc", F.col("id").alias("first")), "doc").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     # Texts too short for a shingle are all alike.
-    return materialize(sure.unionByName(other).unionByName(equal), "pairs")
+    return materialize(found.unionByName(equal), "pairs")
 
 
 class NearDuplicateDetector(BaseRule):

@@ -23,6 +23,7 @@ from loamwork.operators import (
     OutlierHandler,
     SchemaCaster,
 )
+from loamwork.operators import similar
 from loamwork.plans.checks import detect_drift, leakage_warnings
 from loamwork.plans.registry import discover_rules
 from loamwork.sources import default_output, read_schema, row_count
@@ -149,6 +150,20 @@ def test_near_duplicates(spark):
     assert NearDuplicateDetector(key="id").detect(same)[0].parameters["num_duplicates"] == 700
 
 
+def test_near_duplicates_of_large_buckets(spark, monkeypatch):
+    """Pairs alike with each other but not with the least text of the bucket that they share."""
+    monkeypatch.setattr(similar, "BUCKET_PAIRS", 3)
+    head = "boilerplate that every row of this table shares with all the other rows of it, and which is longer than the rest of them"
+    tails = ["quick brown foxes jumped over lazy dogs", "seven wizards mixed a potion of herbs", "xylophone kumquat zephyr", "pale moonlit harbours", "urgent invoices unpaid"]
+    rows = [(2 * i + k, f"{head} {t} {'ab'[k]}") for i, t in enumerate(tails) for k in (0, 1)]
+    df = frame(spark, "id long, t string", *rows)
+    rule = NearDuplicateDetector(threshold=0.92, key="id", num_perm=1)
+    small = rule.detect(df)[0].parameters["clusters"]
+    monkeypatch.setattr(similar, "BUCKET_PAIRS", 500)
+    assert small == rule.detect(df)[0].parameters["clusters"]
+    assert any(0 not in c for c in small)
+
+
 def test_profile_and_drift(spark):
     df = frame(spark, "num double, cat string", (1.0, "a"), (2.0, "b"), (4.0, "a"), (5.0, None), (None, "a"))
     p = stats.profile(df)
