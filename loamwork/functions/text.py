@@ -80,6 +80,11 @@ def token_sort(a: str, b: str) -> float:
     return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
+@F.pandas_udf(T.StringType())
+def words_sorted(a: pd.Series) -> pd.Series:
+    return a.map(lambda x: " ".join(sorted(x.split())))
+
+
 @F.pandas_udf(T.DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else token_sort(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -23,8 +23,9 @@ class FuzzyUnifier(BaseRule):
     """Maps similar spellings of a category to the one met first (by ``order_by``, else the least).
 
     Groups are made greedily over the distinct values, from the least on; each
-    takes its best ``MATCHES`` matches. A column with more than ``max_values``
-    distinct values is no category column and is left alone.
+    takes its best ``MATCHES`` matches. Beyond ``max_values`` distinct values the matches
+    are found by a distributed join and only values that have any come to the driver;
+    the groups are the same.
     """
 
     def __init__(self, threshold: float = 80.0, exclude_cols: list[str] | None = None, pre_lowercase: bool = False, order_by: str | None = None, max_values: int = MAX_VALUES):
@@ -49,6 +50,39 @@ class FuzzyUnifier(BaseRule):
                 mapping |= {m: canonical for m in members if m != canonical}
         return mapping
 
+    def joined_groups(self, values: DataFrame) -> dict[str, str]:
+        """As ``groups``, of a table (v, at); two forms at the threshold share a pair of letters or are both very short."""
+        forms = values.groupBy((F.lower("v") if self.fold else F.col("v")).alias("form")).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("members"))
+        forms = materialize(forms.withColumn("s", X.words_sorted("form")).withColumn("n", F.length("s")), "forms")
+        share = self.threshold / 100
+        # Matched letters at threshold t of summed length S have at least S (1.5 t - 1) - 1 neighbours in common.
+        short = 1 / (1.5 * share - 1) if share > 2 / 3 else None
+        at = F.sequence(F.lit(1), F.col("n") - 1)
+        pairs = F.when(F.col("n") > 1, F.array_distinct(F.transform(at, lambda i: F.substring("s", i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+        blocks = F.array(F.lit("")) if short is None else F.when(F.col("n") <= short, F.concat(pairs, F.array(F.lit("")))).otherwise(pairs)
+        index = materialize(forms.select("form", "s", "n", F.explode(blocks).alias("block")), "blocks")
+        a, b = (index.select("block", F.col("form").alias(f"f{k}"), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+        met = a.join(b, "block").filter("fa < fb").filter(2 * F.least("na", "nb") >= (share - 1e-9) * (F.col("na") + F.col("nb")))
+        met = met.select("fa", "fb").distinct().withColumn("score", X.token_sort_ratio("fa", "fb")).filter(F.col("score") >= self.threshold)
+        near: dict[str, dict[str, float]] = {}
+        met = materialize(met, "matches")
+        for r in met.toLocalIterator():
+            near.setdefault(r["fa"], {})[r["fb"]] = near.setdefault(r["fb"], {})[r["fa"]] = r["score"]
+        wanted = met.select(F.col("fa").alias("form")).unionByName(met.select(F.col("fb").alias("form"))).distinct()
+        kept = forms.join(wanted, "form", "left_semi").unionByName(forms.join(wanted, "form", "left_anti").filter(F.size("members") > 1))
+        members = {r["form"]: [(m["at"], m["v"]) for m in r["members"]] for r in kept.select("form", "members").toLocalIterator()}
+        left, mapping = set(members), {}
+        for target in sorted(members):
+            if target not in left:
+                continue
+            scored = sorted([(-100.0, target), *((-s, v) for v, s in near.get(target, {}).items() if v in left)])
+            taken = {v for _, v in scored[:MATCHES]} | {target}
+            left -= taken
+            group = [m for t in taken for m in members[t]]
+            canonical = min(group, key=lambda m: (m[0] is not None, m[0], m[1]) if m[0] is not None else (False, m[1]))[1]
+            mapping |= {m: canonical for _, m in group if m != canonical}
+        return mapping
+
     def detect(self, df: DataFrame, params: dict[str, Any] | None = None) -> list[Decision]:
         found = []
         for f in df.schema:
@@ -56,10 +90,11 @@ class FuzzyUnifier(BaseRule):
                 continue
             c = col(f.name)
             first = F.min(col(self.order_by)) if self.order_by else F.min(c)
-            rows = df.filter(c.isNotNull()).groupBy(c.alias("v")).agg(first.alias("at")).orderBy("at", "v").limit(self.max_values + 1).collect()
-            if not 2 <= len(rows) <= self.max_values:
+            values = df.filter(c.isNotNull()).groupBy(c.alias("v")).agg(first.alias("at"))
+            rows = values.orderBy("at", "v").limit(self.max_values + 1).collect()
+            if len(rows) < 2:
                 continue
-            mapping = self.groups([r["v"] for r in rows])
+            mapping = self.groups([r["v"] for r in rows]) if len(rows) <= self.max_values else self.joined_groups(values)
             if mapping:
                 found.append(self.decide(f.name, "replace_values", f"{len(mapping)} spellings of others", mapping=mapping, threshold=self.threshold))
         return found

@@ -121,6 +121,14 @@ def test_fuzzy(spark):
     assert FuzzyUnifier(pre_lowercase=True, order_by="i").detect(roles)[0].parameters["mapping"] == {"manager": "Manager", "MANAGER": "Manager"}
 
 
+def test_fuzzy_beyond_the_cap(spark):
+    names = ["New York", "New Yorkk", "York New", "Paris", "Paris ", "Rome", "rome", "Roma", "", " ", "ab", "abc", "b", "Lisbon", "Lisbonn", "Lisbom", "Lisbo", "Lizbon", "Lisboon"]
+    df = frame(spark, "i long, city string", *[(100 - i, n) for i, n in enumerate(names)])
+    for options in ({"order_by": "i"}, {}, {"pre_lowercase": True, "order_by": "i"}, {"threshold": 60.0}):
+        whole = FuzzyUnifier(**options).detect(df)[0].parameters["mapping"]
+        assert FuzzyUnifier(**options, max_values=3).detect(df)[0].parameters["mapping"] == whole
+
+
 def test_ratio_against_dynamic_programming():
     def lcs(a, b):
         row = [0] * (len(b) + 1)
