@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import logging
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import clean_nan, col, correlation, profile
+from ..functions.stats import CATEGORY_CAP, clean_nan, col, correlation, profile
 from ..model import is_numeric
 
 NULL_SHIFT = 0.10
 MEAN_SHIFT = 0.15
 LEAK_CORRELATION = 0.85
 
+log = logging.getLogger(__name__)
+
 
 def drift_alerts(baseline: dict[str, dict[str, Any]], now: dict[str, dict[str, Any]]) -> list[dict[str, Any]]:
     """Alerts on missing columns, null ratios, means and new categories; columns beside the baseline are ignored.
 
     A mean is compared relative to the baseline's, absolutely where that is zero.
-    Categories are compared only where neither list was cut at its cap.
+    Categories are compared here only where both list them; ``detect_drift`` compares the rest.
     """
     alerts = []
 
@@ -47,13 +50,36 @@ def drift_alerts(baseline: dict[str, dict[str, Any]], now: dict[str, dict[str, A
     return alerts
 
 
-def detect_drift(baseline: dict[str, dict[str, Any]], df: DataFrame) -> list[dict[str, Any]]:
+def _many_categories(baseline: dict[str, dict[str, Any]], now: dict[str, dict[str, Any]], df: DataFrame, reference: DataFrame | None) -> list[dict[str, Any]]:
+    """New categories of the columns that a profile does not list: how many, and the first of them."""
+    alerts = []
+    for column, then in baseline.items():
+        if column not in now or "categories_capped" not in then or ("categories" in then and "categories" in now[column]):
+            continue
+        value = col(column).cast("string")
+        if "categories" in then:
+            known = df.sparkSession.createDataFrame([(v,) for v in then["categories"]], "v string")
+        elif reference is not None:
+            known = reference.select(value.alias("v"))
+        else:
+            log.warning("%s: the baseline does not list its categories; new ones are not looked for", column)
+            continue
+        values = df.select(value.alias("v")).filter("v is not null").distinct().join(known.distinct(), "v", "left_anti")
+        number = values.count()
+        if number:
+            first = [r["v"] for r in values.orderBy("v").limit(CATEGORY_CAP).collect()]
+            alerts.append({"column": column, "kind": "new_categories", "message": f"{column}: {number} new categories, from {first[:5]} on", "categories": first, "count": number})
+    return alerts
+
+
+def detect_drift(baseline: dict[str, dict[str, Any]], df: DataFrame, reference: DataFrame | None = None) -> list[dict[str, Any]]:
+    """Alerts against a baseline profile; ``reference``, its table, serves columns whose categories it does not list."""
     if not baseline:
         return []
     now = profile(df)
     if not now:  # an empty table has all its columns, and nothing to compare
         return [a for a in drift_alerts(baseline, {c: {"null_ratio": baseline[c]["null_ratio"]} for c in df.columns if c in baseline}) if a["kind"] == "missing_column"]
-    return drift_alerts(baseline, now)
+    return drift_alerts(baseline, now) + _many_categories(baseline, now, df, reference)
 
 
 def leakage_warnings(df: DataFrame, target: str, limit: float = LEAK_CORRELATION) -> list[dict[str, Any]]:

@@ -24,6 +24,9 @@ from .checks import detect_drift, leakage_warnings
 from .plan import CleaningPlan
 from .registry import check_rule, discover_rules
 
+#: A plan's baseline lists the categories of columns of up to so many; new ones of larger columns are not looked for, with a warning.
+BASELINE_CATEGORIES = 100_000
+
 
 class DataCleaner:
     def __init__(self, rules: list[Rule] | None = None, impute_strategy: str | None = None, sinks: list[TelemetrySink] | None = None, spark: SparkSession | None = None, plugins: bool = True):
@@ -85,7 +88,7 @@ class DataCleaner:
             decisions += found
         for w in warnings:
             emit("target_leakage", column=w["column"], **{k: v for k, v in w.items() if k != "column"})
-        return CleaningPlan(decisions, profile(df), warnings)
+        return CleaningPlan(decisions, profile(df, BASELINE_CATEGORIES), warnings)
 
     def apply(self, df: DataFrame, plan: CleaningPlan) -> DataFrame:
         """The approved decisions as one lazy table; no job runs but where a rule needs one."""

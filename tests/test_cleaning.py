@@ -182,6 +182,19 @@ def test_profile_and_drift(spark):
     assert detect_drift({}, df) == [] and detect_drift(p, df) == []
 
 
+def test_drift_of_many_categories(spark, caplog):
+    few = spark.range(50).select(F.concat(F.lit("c"), F.col("id") % 5).alias("cat"))
+    many = spark.range(300).select(F.concat(F.lit("c"), F.col("id")).alias("cat"))
+    more = spark.range(320).select(F.concat(F.lit("c"), F.col("id")).alias("cat"))
+    alerts = detect_drift(stats.profile(few), many)
+    assert [(a["kind"], a["count"], len(a["categories"])) for a in alerts] == [("new_categories", 295, 100)]
+    assert [a["count"] for a in detect_drift(stats.profile(many, None), more)] == [20]
+    assert [a["count"] for a in detect_drift(stats.profile(many), more, reference=many)] == [20]
+    assert detect_drift(stats.profile(many), many, reference=many) == [] and not caplog.records
+    assert detect_drift(stats.profile(many), more) == [] and "cat" in caplog.text
+    assert [a["count"] for a in detect_drift(DataCleaner().fit(many).baseline_stats, more)] == [20]
+
+
 def test_leakage(spark):
     df = frame(spark, "fraud double, fraud_date string, high double, low double, same double", *[(float(i % 2), "x", i % 2 + 0.01 * i, float(i * 7 % 5), 1.0) for i in range(6)])
     assert {(w["column"], w["kind"]) for w in leakage_warnings(df, "fraud")} == {("fraud_date", "semantic"), ("high", "correlation")}
