@@ -29,9 +29,9 @@ table gives no rows; clashing names are replaced.
 
 from __future__ import annotations
 
-import json
 import logging
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,8 +95,8 @@ def _softmax(numbers: Column, model, present: list[int], counted: DataFrame) ->
     spark, first, scores = counted.sparkSession, present[0], {present[0]: F.lit(0.0)}
     matrix, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     for k in present[1:]:
-        text = json.dumps([float(f"{x:.7g}") for x in matrix[k] - matrix[first]])
-        weights = materialize(spark.range(0, 1, 1, 1).select(F.from_json(F.lit(text), "array<double>").alias("w")), "weights")
+        row = pa.ListArray.from_arrays(pa.array([0, matrix.shape[1]], pa.int32()), pa.array(matrix[k] - matrix[first]))
+        weights = materialize(spark.createDataFrame(pa.table({"w": row})), "weights")
         counted = counted.withColumn(f"__w{k}", weights.scalar())
         total = F.lit(float(intercepts[k] - intercepts[first])) + _sum_at(F.col(f"__w{k}"), numbers)
         scores[k] = F.greatest(F.lit(-300.0), F.least(F.lit(300.0), total))
