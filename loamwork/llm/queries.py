@@ -20,4 +20,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
+SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op7_quality_rules": quality_rules.OP7_SQL}

@@ -104,9 +104,37 @@ def test_quality_rules_keep_good_and_reject_junk(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.05
 
 
-def test_em_learns_which_bad_votes_are_right():
-    prior, adds = quality_rules.fit({(1, 0): 900, (-1, -1): 80, (1, -1): 20})
-    assert adds[0][-1] < 0 and adds[1][-1] < 0 and prior > 0
+def test_quality_rules_match_their_sql(spark):
+    for path in (SF, "/root/testdata/sf0.01"):
+        got = quality_rules.op7_quality_rules(spark, path)
+        names = sorted(got.columns)
+        expected = duck(path, f"SELECT {', '.join(names)} FROM ({SQL['op7_quality_rules']})")
+        assert Counter(tuple(r) for r in got.select(*names).collect()) == expected
+
+
+def decided(patterns):
+    odds, adds = quality_rules.fit(patterns)
+    return {p: odds + sum(a[v] for a, v in zip(adds, p, strict=True)) > 0 for p in patterns}, adds
+
+
+def test_em_outvotes_a_noisy_rule():
+    """Three rules see the same bad documents; a fourth casts bad votes at random on three in ten."""
+    patterns = Counter()
+    for seen, n in (((1, 1, 0), 9000), ((0, 1, 0), 300), ((-1, -1, 0), 300), ((-1, -1, -1), 400), ((0, -1, -1), 200)):
+        patterns[(*seen, 0)] += int(0.7 * n)
+        patterns[(*seen, -1)] += int(0.3 * n)
+    kept, adds = decided(patterns)
+    assert kept == {p: p[:3] in ((1, 1, 0), (0, 1, 0)) for p in patterns}
+    assert abs(adds[3][-1]) < 0.2 < 3 < -adds[0][-1]
+
+
+def test_one_bad_vote_may_be_outvoted(spark):
+    """On a real table some documents with a bad vote are kept, and none that fails the base rule."""
+    counted = quality_rules.counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"))
+    any_bad = F.least(*quality_rules.votes().values()) < 0
+    flagged = {r["doc_id"] for r in counted.filter(any_bad).select("doc_id").collect()}
+    got = quality_rules.op7_quality_rules(spark, "/root/testdata/sf0.1").filter("kept").collect()
+    assert flagged & {r["doc_id"] for r in got} and not any(r["base_failed"] for r in got)
     assert quality_rules.fit({})[1] == []
 
 
