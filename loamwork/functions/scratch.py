@@ -29,26 +29,48 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+class Scratch:
+    """Owns the scratch tables written while it is open, and no others.
+
+    ``with Scratch(spark) as own: result = operator(df)``; a result reads its tables
+    when it runs, so write it first, then call ``own.delete()``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self.spark.__dict__.setdefault("_loamwork_scopes", []).append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.__dict__["_loamwork_scopes"].remove(self)
+
+    def delete(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        self.paths = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     Cuts lineage durably (the files outlive executors) and runs the plan once,
-    where an eager ``checkpoint()`` would run its last stage twice.
+    where an eager ``checkpoint()`` would run its last stage twice. The innermost
+    open ``Scratch`` owns the table; without one it stays until ``release``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loamwork/{uuid.uuid4().hex[:12]}-{next(_counter)}-{name}"
+    scopes = spark.__dict__.get("_loamwork_scopes") or [spark.__dict__.setdefault("_loamwork_rest", Scratch(spark))]
+    scopes[-1].paths.append(path)
     df.write.parquet(path)
-    spark.__dict__.setdefault("_loamwork_written", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the scratch tables written so far, but for the last ``keep``."""
-    written = spark.__dict__.get("_loamwork_written", [])
-    drop = written[: len(written) - keep]
-    del written[: len(drop)]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in drop:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def release(spark: SparkSession) -> None:
+    """Delete the session's scratch tables that no ``Scratch`` owns; results that still read them fail afterwards."""
+    rest = spark.__dict__.get("_loamwork_rest")
+    if rest:
+        rest.delete()
