@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import materialize, release, scratch_dir
+from ..functions.scratch import Scratch, materialize, scratch_dir
 
-__all__ = ["ascii_lower", "materialize", "read", "release", "scratch_dir", "text_or_empty", "words"]
+__all__ = ["Scratch", "ascii_lower", "materialize", "read", "scratch_dir", "text_or_empty", "words"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"

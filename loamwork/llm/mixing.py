@@ -1,39 +1,41 @@
 """Mixing sources to target weights with soft domain membership, native throughout.
 
-A classifier fitted on the labels table (hashed word counts and multinomial
-logistic regression of Spark's own ML library, all in the JVM) predicts for every
-document the probability of each domain: clean prose, low quality, toxic. Then a
-nonnegative rate is fitted for every document so that the expected domain token
-totals, the sum of rate x tokens x posterior, meet the targets: least squares with
-a pull of every rate to 1, by projected gradient. Each step is one aggregate of
-three numbers over a narrow table of posteriors and tokens; rates are columns of
-it, written to the shared scratch folder every few steps. Rates are realised as
-whole copies, floor(rate + u) with u uniform from the document's hash, whose
-expectation is the rate.
+A classifier fitted on the labels table (hashed words, and multinomial logistic
+regression of Spark's own ML library, all in the JVM) predicts for every document the
+probability of each domain: clean prose, low quality, toxic. Then a nonnegative rate
+is fitted for every document so that the expected domain token totals, the sum of
+rate x tokens x posterior, meet the targets: least squares with a pull of every rate
+to 1, by projected gradient. A step is one aggregate of three numbers over a narrow
+table of posteriors and tokens. A document's rate depends on its posterior and the
+three errors of each step only, so it is a fold over those errors, a column
+expression beside the document: no join brings rates and texts together. Rates are
+realised as whole copies, floor(rate + u) with u uniform from the document's hash,
+whose expectation is the rate.
 
 The targets are weights of the three domains; the scale is set so that clean prose
 keeps its tokens (its rates come to about 1) and the others are brought to their
 weights: down where they have more, and up, by rates above 1, where they have less.
 Achieved shares are compared with the wanted ones, and a miss (a domain without any
-tokens cannot be filled) is logged as a warning. The
-classifier is fitted on at most ``sample`` labelled documents in hash order (a
-documented bound). Tokens are the runs of characters other than white space and
-``.,;:?!``; the classifier also splits runs of symbols off its words, and runs of
-symbols and punctuation are features of their own.
+tokens cannot be filled) is logged as a warning. The classifier is fitted on at most
+``sample`` labelled documents in hash order (a documented bound), with the features
+that ``MIN_SHARE`` of them have. Tokens are the runs of characters other than white
+space and ``.,;:?!``; the classifier also splits runs of symbols off its words, and
+runs of symbols and punctuation are features of their own.
 
 Defined results: null and empty texts have no tokens and get the fitted rate all
 the same; null doc_ids hash by their text; without labelled rows posteriors are
-uniform, with labels of one domain only they are its own; labels with nulls are left out; repeated rows get equal rates; an empty
-table gives no rows; clashing names are replaced.
+uniform, with labels of one domain or without any word they are the domains' shares of the labels; labels with
+nulls are left out; of documents with one doc_id and several labels or texts each label
+counts once, with the least text; repeated rows get equal rates; an empty table gives
+no rows; clashing names are replaced, and carried columns are a struct of their own.
 """
 
 from __future__ import annotations
 
 import logging
 
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 SAMPLE = 20_000
 WIDTH = 1 << 17
+#: Features of fewer of the labelled documents than this share are left out.
+MIN_SHARE = 0.00025
 STEM = 5
 SEPARATORS = r"[\x20\x09-\x0D.,;:?!]+"
 SYMBOLS = r"[#*$%&|<>]+"
@@ -73,66 +77,98 @@ def features(distinct: Column, text: Column) -> Column:
     return F.array_distinct(F.concat(plain, F.array_remove(parts, ""), runs))
 
 
-def hashes(distinct: Column) -> Column:
-    """Hashes of distinct words and of their beginnings."""
-    return F.concat(F.transform(distinct, lambda w: F.hash(w)), F.transform(distinct, lambda w: F.hash(F.substring(w, 1, STEM), F.lit(STEM))))
-
-
 def places(distinct: Column) -> Column:
-    """Distinct places of the words' hashes in a vector of HashingTF, which hashes numbers as ``hash`` does."""
-    return F.array_distinct(F.transform(hashes(distinct), lambda h: F.pmod(F.hash(h), F.lit(WIDTH))))
+    """Distinct places in a vector of ``WIDTH`` of the hashes of distinct words and of their beginnings."""
+    whole = F.transform(distinct, lambda w: F.pmod(F.hash(w), F.lit(WIDTH)))
+    stems = F.transform(distinct, lambda w: F.pmod(F.hash(F.substring(w, 1, STEM), F.lit(STEM)), F.lit(WIDTH)))
+    return F.array_distinct(F.concat(whole, stems))
 
 
 def _sum_at(weights: Column, at: Column) -> Column:
     return F.aggregate(at, F.lit(0.0), lambda acc, i: acc + weights[i])
 
 
-def _softmax(numbers: Column, model, present: list[int], counted: DataFrame) -> DataFrame:
-    """``counted`` with array ``posterior``. A class's score against the first one is a sum of weights, looked up in an array.
+def _softmax(numbers: Column, scores_of: dict[int, tuple[float, list[float]]], first: int, counted: DataFrame) -> DataFrame:
+    """``counted`` with array ``posterior``; a domain's score against domain ``first`` is a sum of weights, looked up in an array.
 
-    The arrays have ``WIDTH`` weights whatever the input; they are the rows of a table and reach tasks as scalar subqueries.
+    The arrays have ``WIDTH`` weights whatever the input; they are rows of a table and reach tasks as scalar subqueries.
     """
-    spark, first, scores = counted.sparkSession, present[0], {present[0]: F.lit(0.0)}
-    matrix, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    for k in present[1:]:
-        row = pa.ListArray.from_arrays(pa.array([0, matrix.shape[1]], pa.int32()), pa.array(matrix[k] - matrix[first]))
-        weights = materialize(spark.createDataFrame(pa.table({"w": row})), "weights")
-        counted = counted.withColumn(f"__w{k}", weights.scalar())
-        total = F.lit(float(intercepts[k] - intercepts[first])) + _sum_at(F.col(f"__w{k}"), numbers)
+    spark, scores = counted.sparkSession, {first: F.lit(0.0)}
+    for k, (intercept, weights) in scores_of.items():
+        table = materialize(spark.createDataFrame([(weights,)], "w array<double>"), "weights")
+        counted = counted.withColumn(f"__w{k}", table.scalar())
+        total = F.lit(intercept) + _sum_at(F.col(f"__w{k}"), numbers)
         scores[k] = F.greatest(F.lit(-300.0), F.least(F.lit(300.0), total))
     counted = counted.select(*[c for c in counted.columns if not c.startswith("__w")], *[F.exp(v).alias(f"__e{k}") for k, v in scores.items()])
-    whole = sum((F.col(f"__e{k}") for k in present[1:]), F.col(f"__e{first}"))
-    posterior = F.array(*[F.col(f"__e{d}") / whole if d in present else F.lit(0.0) for d in range(len(DOMAINS))])
-    return counted.withColumn("posterior", posterior).drop(*[f"__e{k}" for k in present])
+    whole = sum((F.col(f"__e{k}") for k in scores_of), F.col(f"__e{first}"))
+    posterior = F.array(*[F.col(f"__e{d}") / whole if d in scores else F.lit(0.0) for d in range(len(DOMAINS))])
+    return counted.withColumn("posterior", posterior).drop(*[f"__e{k}" for k in scores])
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the text, with array ``posterior`` by domain and ``n_tokens`` (words)."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id"):
+    """Shares of the domains among the labelled documents, the first domain, and (intercept, weights) of each other one."""
     good = labels.filter("doc_id is not null and quality is not null and toxic is not null")
-    picked = good.select(F.col("doc_id").alias("__label_id"), domain(F.col("quality"), F.col("toxic")).alias("label"))
+    picked = good.select(F.col("doc_id").alias("__label_id"), domain(F.col("quality"), F.col("toxic")).alias("label")).distinct()
     picked = picked.orderBy(F.xxhash64("__label_id"), "__label_id", "label").limit(sample)
-    labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(
-        F.broadcast(picked), F.col("__id") == F.col("__label_id")
+    # At most ``sample`` rows of two numbers are broadcast, so that texts don't shuffle.
+    labelled = (
+        docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+        .join(F.broadcast(picked), F.col("__id") == F.col("__label_id"))
+        .groupBy("__id", "label")
+        .agg(F.min("__text").alias("__text"))
     )
-    labelled = labelled.withColumn("__words", features(F.array_distinct(tokens(F.col("__text"))), F.col("__text")))
-    hashing = HashingTF(inputCol="__hashes", outputCol="__features", numFeatures=WIDTH, binary=True)
-    train = materialize(hashing.transform(labelled.select("label", hashes(F.col("__words")).alias("__hashes"))).select("label", "__features"), "labelled")
-    present = sorted(int(r["label"]) for r in train.select("label").distinct().collect())  # at most three rows
+    words = features(F.array_distinct(tokens(F.col("__text"))), F.col("__text"))
+    numbers = F.transform(F.col("__words"), lambda i: i.cast("string"))
+    table = labelled.withColumn("__words", words).withColumn("__words", places(F.col("__words"))).select("label", numbers.alias("__numbers"))
+    table = materialize(table, "labelled")
+    counts = {int(r["label"]): r["n"] for r in table.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most three rows
+    n, present = sum(counts.values()), sorted(counts)
+    shares = [counts.get(d, 0) / n if n else 1 / len(DOMAINS) for d in range(len(DOMAINS))]
+    if len(present) < 2 or table.filter(F.size("__numbers") > 0).isEmpty():
+        return shares, None, {}
+    counter = CountVectorizer(inputCol="__numbers", outputCol="__features", vocabSize=WIDTH, minDF=max(1.0, MIN_SHARE * n), binary=True).fit(table)
+    fitted = LogisticRegression(
+        featuresCol="__features", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=80,
+    ).fit(counter.transform(table))
+    matrix, intercepts, first = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray(), present[0]
+    scores_of = {}
+    for k in present[1:]:
+        weights = [0.0] * WIDTH
+        for place, weight in zip(counter.vocabulary, (matrix[k] - matrix[first]).tolist(), strict=True):
+            weights[int(place)] = weight
+        scores_of[k] = (float(intercepts[k] - intercepts[first]), weights)
+    return shares, first, scores_of
+
+
+def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the text, with array ``posterior`` by domain and ``n_tokens`` (words)."""
+    shares, first, scores_of = train(docs, labels, sample, text_col, id_col)
     counted = docs.withColumn("__tokens", tokens(F.col(text_col)))
     words = features(F.array_distinct("__tokens"), F.col(text_col))
     counted = counted.withColumns({"n_tokens": F.size("__tokens").cast("long"), "__words": words}).drop("__tokens", text_col)
-    if len(present) < 2:
-        even = [1 / len(DOMAINS)] * len(DOMAINS) if not present else [float(d in present) for d in range(len(DOMAINS))]
-        return counted.drop("__words").withColumn("posterior", F.array(*map(F.lit, even)))
-    model = LogisticRegression(
-        featuresCol="__features", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=80,
-    ).fit(train)
+    if first is None:
+        return counted.drop("__words").withColumn("posterior", F.array(*map(F.lit, shares)))
     counted = counted.withColumn("__numbers", places(F.col("__words"))).drop("__words")
-    return _softmax(F.col("__numbers"), model, present, counted).drop("__numbers")
+    return _softmax(F.col("__numbers"), scores_of, first, counted).drop("__numbers")
+
+
+def stepped(rate: Column, errors: list[Column]) -> Column:
+    """The rate after one projected gradient step."""
+    slope = sum((e * F.col(f"p{d}") for d, e in enumerate(errors)), PULL * (rate - 1))
+    return F.greatest(F.lit(0.0), rate - slope / (1 + PULL))
+
+
+def rated(table: DataFrame, steps: list[list[float]]) -> DataFrame:
+    """``table`` with column ``rate``: all steps, folded over the errors (p0, p1, p2) of each."""
+    if not steps:
+        return table.withColumn("rate", F.lit(1.0))
+    errors = F.array(*[F.array(*map(F.lit, e)) for e in steps])
+    rate = F.aggregate(errors, F.lit(1.0), lambda r, e: stepped(r, [e[d] for d in range(len(DOMAINS))]))
+    return table.withColumn("rate", rate)
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[DataFrame, dict[str, float]]:
-    """``table`` (n_tokens, p0..p2) with a ``rate`` a row; the achieved share of the tokens, by domain.
+def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[list[list[float]], dict[str, float]]:
+    """The errors of each step over ``table`` (n_tokens, p0..p2), for ``rated``; the achieved share of the tokens, by domain.
 
     Minimises sum_d ((sum_i r_i n_i p_id - T_d) / S)^2 / (2 q_d) + PULL / 2 * sum_i (n_i / S) (r_i - 1)^2
     over r >= 0, with S all tokens and q_d the share of the domain. The gradient is
@@ -141,20 +177,19 @@ def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -
     """
     k = range(len(DOMAINS))
     sums = [F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{d}")).alias(f"s{d}") for d in k]
-    table = table.withColumn("rate", F.lit(1.0))
+    table = table.select("n_tokens", *[f"p{d}" for d in k]).withColumn("rate", F.lit(1.0))
     now = table.agg(*sums, F.sum("n_tokens").alias("all")).first()
-    total = float(now["all"] or 0)
+    total, taken = float(now["all"] or 0), []
     if not total:
-        return table, dict.fromkeys(DOMAINS, 0.0)
+        return taken, dict.fromkeys(DOMAINS, 0.0)
     share = [max((now[f"s{d}"] or 0.0) / total, 1e-6) for d in k]
     # Without clean tokens, or a weight for them, all tokens are kept.
     scale = now["s0"] / targets[DOMAINS[0]] if now["s0"] and targets[DOMAINS[0]] else total / sum(targets.values())
     goal = [scale * targets[name] for name in DOMAINS]
     for step in range(steps):
-        error = [(now[f"s{d}"] - goal[d]) / (total * share[d]) for d in k]
-        slope = sum((F.lit(error[d]) * F.col(f"p{d}") for d in k), PULL * (F.col("rate") - 1))
-        table = table.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - slope / (1 + PULL)))
-        if step % STEPS_A_TABLE == STEPS_A_TABLE - 1 or step == steps - 1:
+        taken.append([(now[f"s{d}"] - goal[d]) / (total * share[d]) for d in k])
+        table = table.withColumn("rate", stepped(F.col("rate"), [F.lit(e) for e in taken[-1]]))
+        if step % STEPS_A_TABLE == STEPS_A_TABLE - 1:
             table = materialize(table, "rates")
         now = table.agg(*sums).first()
         if max(abs(now[f"s{d}"] - goal[d]) for d in k) <= 1e-9 * total:
@@ -164,19 +199,24 @@ def fit_rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS) -
     missed = {name: (round(shares[name], 4), targets[name] / whole) for name in DOMAINS if abs(shares[name] - targets[name] / whole) > MISS}
     if missed:
         log.warning("mixing misses its weights (achieved, wanted): %s", missed)
-    return table, shares
+    return taken, shares
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, mark (a hash of the text), n_tokens, p0..p2, rate and copies of every row of ``docs``."""
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+def mix(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text_col: str = "text", id_col: str = "doc_id",
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_tokens, p0..p2, rate and copies of every row of ``docs``, and struct ``carried`` of the columns ``carry``."""
+    more = [F.struct(*carry).alias("carried")] if carry else []
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"), *more)
     table = posteriors(picked, labels).select(
         "doc_id", "mark", "n_tokens",
-        *[F.col("posterior")[d].alias(f"p{d}") for d in range(len(DOMAINS))],
+        *[F.col("posterior")[d].alias(f"p{d}") for d in range(len(DOMAINS))], *["carried"] * bool(carry),
     )
-    rates, _ = fit_rates(materialize(table, "posteriors"), targets or TARGETS)
+    table = materialize(table, "posteriors")
+    steps, _ = fit_rates(table, targets or TARGETS)
     uniform = F.pmod(F.xxhash64(F.coalesce("doc_id", "mark"), F.lit(11)), F.lit(1 << 20)) / (1 << 20)
-    return rates.withColumn("copies", F.floor(F.col("rate") + uniform).cast("int"))
+    return rated(table, steps).withColumn("copies", F.floor(F.col("rate") + uniform).cast("int"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from loamwork.llm import exact_dedup, packing, sharding, simhash
-from loamwork.llm.components import connected_components
+from loamwork.functions.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,5 +1,6 @@
 """The pipeline's stages against their operators' plain meaning."""
 
+import random
 from collections import defaultdict
 
 import corpus_pipeline as pipeline
@@ -86,3 +87,51 @@ def test_near_stage_against_all_pairs(spark):
     assert got == {i: find(i) for i in ids}
     kept = {r["doc_id"] for r in pipeline.near_stage(spark, docs, PATH).collect()}
     assert kept == {i for i in ids if find(i) == i}
+
+
+def test_near_stage_keeps_one_of_repeated_rows_and_null_ids(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text), (5, text), (5, other), (7, other), (7, other), (None, text), (None, "alone"), (None, "alone"), (9, None), (8, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_stage(spark, docs, "somewhere").collect()), key=str)
+    assert got == sorted([(1, text), (5, other), (None, "alone"), (8, " ")], key=str)
+    assert pipeline.near_stage(spark, docs.limit(0), "somewhere").count() == 0
+
+
+def test_stages_leave_other_results_alone(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (2, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = near_text.near_components(docs, 5)
+    for _ in range(2):
+        pipeline.rules_stage(spark, docs, "elsewhere").count()
+    assert found.count() == 2
+
+
+def test_dense_group_below_the_threshold_keeps_all_links(spark):
+    """Variants of one text by 0 to 8 edits: components equal those of all pairs."""
+    rng = random.Random(3)
+    words, rows = [f"w{i}" for i in range(150)], []
+    for i in range(160):
+        edited = list(words)
+        for at in rng.sample(range(150), rng.randint(0, 8)):
+            edited[at] = f"e{rng.randint(0, 30)}"
+        rows.append((i, " ".join(edited)))
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t in rows}
+    root = list(range(160))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(160):
+        for j in range(i):
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = near_text.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(160)}
+
+
+def test_pipeline_of_an_empty_table(spark, nothing):
+    spark.createDataFrame([(1, 1, 0), (10, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{nothing}/labels.parquet")
+    assert pipeline.run(spark, nothing).count() == 0

@@ -334,8 +334,8 @@ def test_mixing_fills_scarce_domains(spark, caplog):
     rows = [(i, i, 100, p0, p1, p2) for i, (p0, p1, p2) in enumerate([(0.98, 0.01, 0.01)] * 900 + [(0.1, 0.9, 0.0)] * 6 + [(0.2, 0.0, 0.8)] * 240)]
     table = spark.createDataFrame(rows, "doc_id long, mark long, n_tokens long, p0 double, p1 double, p2 double")
     for targets in (mixing.TARGETS, {"clean": 0.5, "low": 0.25, "toxic": 0.25}):
-        fitted, shares = mixing.fit_rates(table, targets)
-        got = fitted.collect()
+        steps, shares = mixing.fit_rates(table, targets)
+        got = mixing.rated(table, steps).collect()
         totals = [sum(r["rate"] * r["n_tokens"] * r[f"p{d}"] for r in got) for d in range(3)]
         for d, name in enumerate(mixing.DOMAINS):
             assert abs(totals[d] / sum(totals) - targets[name]) < 0.005 and abs(shares[name] - totals[d] / sum(totals)) < 1e-6
