@@ -46,7 +46,7 @@ TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 SAMPLE = 20_000
 WIDTH = 1 << 17
 #: Features of fewer of the labelled documents than this share are left out.
-MIN_SHARE = 0.00025
+MIN_SHARE = 0.001
 STEM = 5
 SEPARATORS = r"[\x20\x09-\x0D.,;:?!]+"
 SYMBOLS = r"[#*$%&|<>]+"
