@@ -5,13 +5,15 @@ ids of a public byte-level BPE (with a leading space, so that a subword tells
 whether it starts a word). The model:
 
 * Counts over the whole training corpus: every word and, from them, every subword.
-  Subwords are dealt to ``CLASSES`` classes of about equal mass, word starts and
-  continuations apart, the end alone.
-* One causal self-attention layer predicts the class of the next subword; within
-  its class a subword has its corpus share. Attention, embeddings and output are
-  trained by Adam: first on ``WARM_DOCS`` training documents on the driver, to have
-  one starting point, then by every task on all windows of its own training documents
-  (one in ``TRAIN_EVERY``), and the tasks' weights are averaged by their token counts.
+  Subwords are dealt to 16 groups of 16 classes of about equal mass, word starts and
+  continuations apart; the end is a group of its own.
+* One causal self-attention layer predicts the next subword's group and, given it, its
+  class (a two-level softmax over 257 classes); within its class a subword has its
+  corpus share. All weights are trained by Adam, first in one task on about
+  ``WARM_DOCS`` documents taken by hash, to have one starting point, then by every task
+  on all windows of its own training documents, end to end, so that each token is
+  learned once; the tasks' weights are averaged by their token counts. Texts never
+  come to the driver.
 * A word's probability is that of its subwords and of the word ending there, given
   what precedes: P(subwords) x P(start after) / P(start before). Words counted at
   most ``RARE`` times, and only they, are backed off to their corpus share: with L
@@ -48,20 +50,24 @@ from pyspark.sql import functions as F
 from .common import materialize, read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CLASSES = 256
-STARTS = 160
+GROUPS = 16
+MEMBERS = 16
+#: The first groups are of word starts, the others of continuations; the end's group and class follow them.
+START_GROUPS = 10
+END_CLASS = GROUPS * MEMBERS
 WIDTH = 16
 BUCKETS = 1024
 WINDOW = 24
-STRIDE = 16
-BATCH = 512
+STRIDE = 18
+BATCH = 256
 TRAIN_BATCH = 128
-TRAIN_EVERY = 1
 WARM_DOCS = 400
 RATE = 0.01
 HOT_WORDS = 200_000
 CACHE = 400_000
 RARE = 5
+#: Subwords of the documents that are scored or trained on at a time.
+AT_A_TIME = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -96,58 +102,95 @@ def default_vocabulary() -> str:
 
 def initial(seed: int = 1) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    shapes = {"ec": (CLASSES, WIDTH), "eb": (BUCKETS, WIDTH), "ep": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH),
-              "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "out": (WIDTH, CLASSES)}
+    shapes = {"ec": (END_CLASS + 1, WIDTH), "eb": (BUCKETS, WIDTH), "ep": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH),
+              "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "group": (WIDTH, GROUPS + 1), "member": (GROUPS, WIDTH, MEMBERS)}
     weights = {n: (rng.standard_normal(s) * 0.3).astype(np.float32) for n, s in shapes.items()}
-    weights["bias"] = np.zeros(CLASSES, dtype=np.float32)
-    return weights
+    return weights | {"group_bias": np.zeros(GROUPS + 1, np.float32), "member_bias": np.zeros((GROUPS, MEMBERS), np.float32)}
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, dtype=np.float32), 1)
+_SEEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 
 
-def forward(w: dict, ids: np.ndarray, classes: np.ndarray):
-    """Log class probabilities (windows, positions, classes), and what backward() needs."""
+def hidden(w: dict, ids: np.ndarray, classes: np.ndarray):
+    """Hidden states (windows, positions, WIDTH) after masked attention, and what backward() needs."""
     c, b = classes[ids], ids % BUCKETS
-    x = w["ec"][c] + w["eb"][b] + w["ep"]
-    q, k, v = (x @ w[n] for n in "qkv")
+    x = w["ec"][c]
+    x += w["eb"][b]
+    x += w["ep"]
+    n = len(ids)
+    flat = x.reshape(-1, WIDTH)
+    q = (flat @ (w["q"] * WIDTH**-0.5)).reshape(n, WINDOW, WIDTH)
+    k, v = ((flat @ w[m]).reshape(n, WINDOW, WIDTH) for m in "kv")
     s = q @ k.transpose(0, 2, 1)
-    s *= WIDTH**-0.5
-    s += _MASK
-    s -= s.max(axis=2, keepdims=True)
+    np.clip(s, -60, 60, out=s)
     np.exp(s, out=s)
+    s *= _SEEN
     s /= s.sum(axis=2, keepdims=True)
     mixed = s @ v
-    h = x + mixed @ w["o"]
-    z = h @ w["out"]
-    z += w["bias"]
-    z -= z.max(axis=2, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-    return z, (c, b, x, q, k, v, s, mixed, h)
-
-
-def backward(w: dict, z: np.ndarray, kept, target: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the mean negative log likelihood of the target classes at valid positions."""
-    c, b, x, q, k, v, a, mixed, h = kept
-    dz = np.exp(z)
-    np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], 2) - 1, 2)
-    dz *= (valid / max(1, valid.sum()))[..., None]
+    h = x + (mixed.reshape(-1, WIDTH) @ w["o"]).reshape(n, WINDOW, WIDTH)
+    return h, (c, b, x, q, k, v, s, mixed)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def by_group(classes: np.ndarray) -> list[np.ndarray]:
+    """The rows of each group's classes."""
+    group = classes // MEMBERS
+    order = np.argsort(group, kind="stable")
+    return np.split(order, np.searchsorted(group[order], np.arange(1, GROUPS + 1)))[:GROUPS]
+
+
+def outputs(w: dict, h: np.ndarray, target: np.ndarray):
+    """For hidden states (rows, WIDTH): log probability of the target class and of any word start or end, and what backward() needs."""
+    rows = np.arange(len(h))
+    groups = _softmax(h @ w["group"] + w["group_bias"])
+    log = np.log(groups[rows, target // MEMBERS])
+    begin = np.log(groups[:, :START_GROUPS].sum(axis=1) + groups[:, GROUPS])
+    parts = []
+    for g, at in enumerate(by_group(target)):
+        members = _softmax(h[at] @ w["member"][g] + w["member_bias"][g])
+        log[at] += np.log(members[np.arange(len(at)), target[at] % MEMBERS])
+        parts.append((at, members))
+    return log, begin, (groups, parts)
+
+
+def backward(w: dict, kept, h: np.ndarray, target: np.ndarray, valid: np.ndarray, out) -> dict[str, np.ndarray]:
+    """Gradient of the mean negative log likelihood; ``h`` and ``target`` are those of the valid positions."""
+    c, b, x, q, k, v, a, mixed = kept
+    groups, parts = out
+    share = 1 / max(1, len(h))
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"out": flat(h).T @ flat(dz), "bias": flat(dz).sum(0)}
-    dh = dz @ w["out"].T
+    groups[np.arange(len(h)), target // MEMBERS] -= 1
+    groups *= share
+    g = {"group": h.T @ groups, "group_bias": groups.sum(0), "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
+    part = groups @ w["group"].T
+    for i, (at, members) in enumerate(parts):
+        members[np.arange(len(at)), target[at] % MEMBERS] -= 1
+        members *= share
+        g["member"][i], g["member_bias"][i] = h[at].T @ members, members.sum(0)
+        part[at] += members @ w["member"][i].T
+    dh = np.zeros_like(x)
+    dh[valid] = part
     g["o"] = flat(mixed).T @ flat(dh)
-    dm = dh @ w["o"].T
+    dm = (flat(dh) @ w["o"].T).reshape(x.shape)
     da = dm @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dm
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * WIDTH**-0.5
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dh.copy()
-    for n, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[n] = flat(x).T @ flat(d)
-        dx += d @ w[n].T
+    da -= (da * a).sum(2, keepdims=True)
+    da *= a
+    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+    dx = dh
+    for n, d, scale in (("q", dq, WIDTH**-0.5), ("k", dk, 1.0), ("v", dv, 1.0)):
+        g[n] = flat(x).T @ flat(d) * scale
+        dx = dx + (flat(d) @ (w[n].T * scale)).reshape(x.shape)
     g["ep"] = dx.sum(0)
-    for n, at, size in (("ec", c, CLASSES), ("eb", b, BUCKETS)):
-        g[n] = np.stack([np.bincount(at.ravel(), weights=dx[..., j].ravel(), minlength=size) for j in range(WIDTH)], 1).astype(np.float32)
+    for n, at, size in (("ec", c, END_CLASS + 1), ("eb", b, BUCKETS)):
+        at = at.ravel()
+        g[n] = np.stack([np.bincount(at, weights=dx[..., j].ravel(), minlength=size) for j in range(WIDTH)], 1).astype(np.float32)
     return g
 
 
@@ -157,8 +200,9 @@ class Adam:
         self.m, self.s = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
 
     def step(self, ids, target, valid, classes) -> None:
-        z, kept = forward(self.w, ids, classes)
-        g = backward(self.w, z, kept, classes[target], valid)
+        h, kept = hidden(self.w, ids, classes)
+        h, target = h[valid], classes[target[valid]]
+        g = backward(self.w, kept, h, target, valid, outputs(self.w, h, target)[2])
         self.t += 1
         for n in self.w:
             self.m[n] += 0.1 * (g[n] - self.m[n])
@@ -166,16 +210,17 @@ class Adam:
             self.w[n] -= RATE * (self.m[n] / (1 - 0.9**self.t)) / (np.sqrt(self.s[n] / (1 - 0.99**self.t)) + 1e-6)
 
 
-def windows(ids: np.ndarray, end: int):
-    """(inputs, targets, first position scored, positions) of the windows of one text's ids, which end in ``end``."""
-    n = len(ids)
-    count = 1 if n <= WINDOW else 1 + -(-(n - WINDOW) // STRIDE)
-    padded = np.full(WINDOW + (count - 1) * STRIDE + 1, end, dtype=np.int32)
-    padded[1 : n + 1] = ids
-    at = np.arange(count)[:, None] * STRIDE + np.arange(WINDOW)
-    valid = at < n
-    valid[1:, : WINDOW - STRIDE] = False
-    return padded[at], padded[at + 1], valid
+def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Places and validity (windows, positions) of the windows of texts of these lengths that stand end to end; each place is valid once."""
+    lengths = np.asarray(lengths, dtype=np.int64)
+    ends = np.cumsum(lengths)
+    many = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
+    text = np.repeat(np.arange(len(lengths)), many)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    at = ((ends - lengths)[text] + number * stride)[:, None] + np.arange(WINDOW)
+    valid = at < ends[text][:, None]
+    valid[number > 0, : WINDOW - stride] = False
+    return np.minimum(at, max(0, int(lengths.sum()) - 1)), valid
 
 
 # --- the corpus ----------------------------------------------------------------
@@ -217,55 +262,74 @@ def subword_classes(totals: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     """Class of each id and the natural log of its share within the class."""
     weight = totals + 0.1
     classes = np.zeros(len(totals), dtype=np.int32)
-    classes[-1] = CLASSES - 1
+    classes[-1] = END_CLASS
     body = np.arange(len(totals)) < len(totals) - 1
-    for group, first, many in ((starts & body, 0, STARTS), (~starts & body, STARTS, CLASSES - 1 - STARTS)):
+    many = START_GROUPS * MEMBERS
+    for group, first, n in ((starts & body, 0, many), (~starts & body, many, END_CLASS - many)):
         ids = np.flatnonzero(group)
         ids = ids[np.argsort(-weight[ids], kind="stable")]
         before = np.cumsum(weight[ids]) - weight[ids]
-        classes[ids] = first + np.minimum(many - 1, (before / weight[ids].sum() * many).astype(np.int32))
-    mass = np.bincount(classes, weights=weight, minlength=CLASSES)
+        classes[ids] = first + np.minimum(n - 1, (before / weight[ids].sum() * n).astype(np.int32))
+    mass = np.bincount(classes, weights=weight, minlength=END_CLASS + 1)
     return classes, np.log(weight / mass[classes]).astype(np.float32)
 
 
-def _text_ids(sub: Subwords, cache: dict, text: str | None) -> np.ndarray:
-    out: list[int] = []
-    for w in words_of(text):
-        ids = cache.get(w)
-        if ids is None:
-            ids = cache[w] = sub.of(w)
-        out += ids
-    if len(cache) > CACHE:
-        cache.clear()
-    return np.array([*out, sub.end], dtype=np.int32)
+class WordIds(dict):
+    """For a word the bytes of its count (a double; -1 where it is not among ``counts``) and of its subword ids, cached."""
+
+    def __init__(self, sub: Subwords, counts: dict[bytes, int]):
+        super().__init__()
+        self.sub, self.counts = sub, counts
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = np.float64(self.counts.get(word, -1)).tobytes() + np.array(self.sub.of(word), dtype=np.int32).tobytes()
+        if len(word) < 64:
+            self[word] = out
+        return out
+
+    def texts(self, texts: list[list[bytes]]):
+        """(ids of all texts, each with its end; texts' lengths; words' counts; words' first places; words' texts)."""
+        if len(self) > CACHE:
+            self.clear()
+        found = [self[w] for words in texts for w in words]
+        raw = np.frombuffer(b"".join(found), dtype=np.int32)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        heads = np.cumsum(sizes) - sizes
+        counts = raw[heads[:, None] + np.arange(2)].view(np.float64).ravel()
+        body = np.ones(len(raw), dtype=bool)
+        body[heads] = body[heads + 1] = False
+        per_text = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        text_of = np.repeat(np.arange(len(texts)), per_text)
+        first = np.cumsum(sizes - 2) - (sizes - 2) + text_of
+        lengths = np.bincount(text_of, weights=sizes - 2, minlength=len(texts)).astype(np.int64) + 1
+        ends = np.cumsum(lengths) - 1
+        ids = np.full(int(lengths.sum()), self.sub.end, dtype=np.int32)
+        inside = np.ones(len(ids), dtype=bool)
+        inside[ends] = False
+        ids[inside] = raw[body]
+        return ids, lengths, counts, first, text_of
+
+
+def train_local(weights: dict, texts: Iterator[str | None], path: str, classes: np.ndarray) -> tuple[dict, int]:
+    """Weights after Adam over all windows of the texts, end to end, and the positions seen."""
+    sub = Subwords(path)
+    words, model, seen, held, size = WordIds(sub, {}), Adam(weights), 0, [], 0
 
+    def learn() -> int:
+        ids, lengths, *_ = words.texts(held)
+        at, valid = windows(lengths, WINDOW)
+        stream = np.concatenate([[sub.end], ids]).astype(np.int32)
+        for i in range(0, len(at), TRAIN_BATCH):
+            cut = slice(i, i + TRAIN_BATCH)
+            model.step(stream[at[cut]], stream[at[cut] + 1], valid[cut], classes)
+        return len(ids)
 
-def train_local(weights: dict, texts: Iterator[str | None], path: str, classes: np.ndarray, every: int, passes: int = 1) -> tuple[dict, int]:
-    """Weights after Adam over one window in ``every`` of the texts, and the positions seen."""
-    sub, cache, model, seen, number = Subwords(path), {}, Adam(weights), 0, 0
-    held: list[list[np.ndarray]] = [[], [], []]
-    size = 0
     for text in texts:
-        found = windows(_text_ids(sub, cache, text), sub.end)
-        pick = slice((-number) % every, None, every)
-        number += len(found[0])
-        for to, part in zip(held, found, strict=True):
-            to.append(part[pick])
-        size += len(held[0][-1])
-        while size >= TRAIN_BATCH:
-            ids, target, valid = (np.concatenate(h) for h in held)
-            for at in range(0, size - TRAIN_BATCH + 1, TRAIN_BATCH):
-                cut = slice(at, at + TRAIN_BATCH)
-                for _ in range(passes):
-                    model.step(ids[cut], target[cut], valid[cut], classes)
-                seen += int(valid[cut].sum())
-            rest = size - size % TRAIN_BATCH
-            held, size = [[ids[rest:]], [target[rest:]], [valid[rest:]]], size - rest
-    if size:
-        ids, target, valid = (np.concatenate(h) for h in held)
-        model.step(ids, target, valid, classes)
-        seen += int(valid.sum())
-    return model.w, seen
+        held.append(words_of(text))
+        size += len(held[-1]) + 1
+        if size >= AT_A_TIME // 3:
+            seen, held, size = seen + learn(), [], 0
+    return model.w, seen + (learn() if held else 0)
 
 
 def _pack(w: dict) -> np.ndarray:
@@ -305,13 +369,23 @@ def fit(docs: DataFrame, vocabulary: str | None = None) -> dict:
     totals[sub.end] = ends
     classes, shares = subword_classes(totals, sub.starts)
 
-    warm = learned.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(WARM_DOCS)
-    weights, _ = train_local(initial(), (r["text"] for r in warm.collect()), path, classes, 1)
+    flat = _pack(initial())
+
+    def warmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, _ = train_local(_unpack(flat), (t for b in batches for t in b.column(0).to_pylist()), path, classes)
+        yield pa.RecordBatch.from_arrays([pa.array([_pack(w).tobytes()])], names=["weights"])
+
+    # About WARM_DOCS documents by hash, to one task.
+    whole = 1 << 40
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(whole))
+    few = learned.select("text", mark.alias("h")).filter(F.col("h") < F.lit(min(whole, whole * WARM_DOCS // max(1, ends))))
+    warm = few.repartition(1).sortWithinPartitions("h").select("text").mapInArrow(warmed, "weights binary").first()
+    weights = _unpack(np.frombuffer(warm["weights"], np.float32)) if warm else initial()
     start = spark.sparkContext.broadcast((weights, classes))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, cls = start.value
-        trained, seen = train_local(w, (t for b in batches for t in b.column(0).to_pylist()), path, cls, TRAIN_EVERY)
+        trained, seen = train_local(w, (t for b in batches for t in b.column(0).to_pylist()), path, cls)
         row = [pa.array([TaskContext.get().partitionId() % 64]), pa.array([_pack(trained).tobytes()]), pa.array([seen])]
         yield pa.RecordBatch.from_arrays(row, names=["part", "weights", "seen"])
 
@@ -328,18 +402,18 @@ def fit(docs: DataFrame, vocabulary: str | None = None) -> dict:
     }
 
 
-def subword_scores(model: dict, texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the ids of all texts end to end: natural log probability, and that of a word start standing there."""
-    parts = [windows(t, end) for t in texts]
-    ids, target, valid = (np.concatenate([p[j] for p in parts]) for j in range(3))
-    starts = np.r_[np.arange(STARTS), CLASSES - 1]
+def subword_scores(model: dict, ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the ids of texts end to end: natural log probability, and that of a word start standing there."""
+    at, valid = windows(lengths)
+    stream = np.concatenate([[end], ids]).astype(np.int32)
     logs, begins = [], []
-    for at in range(0, len(ids), BATCH):
-        cut = slice(at, at + BATCH)
-        z, _ = forward(model["weights"], ids[cut], model["classes"])
-        z, t = z[valid[cut]], target[cut][valid[cut]]
-        logs.append(z[np.arange(len(t)), model["classes"][t]] + model["shares"][t])
-        begins.append(np.log(np.exp(z[:, starts]).sum(axis=1)))
+    for i in range(0, len(at), BATCH):
+        cut = slice(i, i + BATCH)
+        h, _ = hidden(model["weights"], stream[at[cut]], model["classes"])
+        target = stream[at[cut][valid[cut]] + 1]
+        log, begin, _ = outputs(model["weights"], h[valid[cut]], model["classes"][target])
+        logs.append(log + model["shares"][target])
+        begins.append(begin)
     return np.concatenate(logs).astype(np.float64), np.concatenate(begins).astype(np.float64)
 
 
@@ -358,51 +432,47 @@ SCORED = (
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        sub, cache, hot, number = Subwords(model["path"]), {}, model["hot"], TaskContext.get().partitionId() << 33
-        unseen, width = np.log10(model["n"] + 0.5 * (model["v"] + 1)), 200_000
-
-        def entry(w: bytes):
-            ids = np.array(sub.of(w), dtype=np.int32)
-            found = cache[w] = (ids, hot.get(w, -1))
-            return found
+        sub, number = Subwords(model["path"]), TaskContext.get().partitionId() << 33
+        cache, unseen = WordIds(sub, model["hot"]), np.log10(model["n"] + 0.5 * (model["v"] + 1))
+
+        def scored(doc_ids: list, held: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+            nonlocal number
+            ids, lengths, counts, first, text_of = cache.texts(texts)
+            logs, begins = subword_scores(model, ids, lengths, sub.end)
+            run_up = np.concatenate([[0.0], np.cumsum(logs)])
+            ends = np.cumsum(lengths) - 1
+            after = np.append(first[1:], 0)
+            if len(first):
+                last = np.append(text_of[1:] != text_of[:-1], True)
+                after[last] = ends[text_of[last]]
+            word_log = run_up[after] - run_up[first] + begins[after] - begins[first] if len(first) else np.zeros(0)
+            seen, n = counts >= 0, len(texts)
+            by_text = lambda x: np.bincount(text_of[seen], weights=x, minlength=n)
+            end_c = np.full(n, float(model["ends"]))
+            known = by_text(counts[seen] > 0).astype(np.int64) + (model["ends"] > 0)
+            base = by_text(np.log10(counts[seen] + 0.5) - unseen) + np.log10(end_c + 0.5) - unseen
+            score = by_text(mixed_log10(model, counts[seen], word_log[seen])) + mixed_log10(model, end_c, logs[ends] - begins[ends])
+            words = [w for ws in texts for w in ws]
+            cold = np.flatnonzero(~seen)
+            cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text_of[cold], minlength=n))]).astype(np.int32))
+            tokens = np.fromiter(map(len, texts), dtype=np.int64, count=n) + 1
+            columns = [
+                pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.arange(number, number + n)), pa.array(tokens), pa.array(known),
+                pa.array(base), pa.array(score), pa.ListArray.from_arrays(cuts, pa.array([words[j] for j in cold], pa.binary()).cast(pa.string())),
+                pa.ListArray.from_arrays(cuts, pa.array(word_log[cold])),
+            ]
+            number += n
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "words", "logs"])
 
         for batch in batches:
             doc_ids, texts, held = (c.to_pylist() for c in batch.columns)
-            rows: list[list] = [[] for _ in range(9)]
-            at = 0
-            while at < len(texts):
-                pending, size = [], 0
-                while at < len(texts) and size < width:  # some documents at a time, so that memory is bounded
-                    words = words_of(texts[at])
-                    found = [cache.get(w) or entry(w) for w in words]
-                    lengths = np.fromiter((len(f[0]) for f in found), dtype=np.int64, count=len(found))
-                    c = np.fromiter((f[1] for f in found), dtype=np.float64, count=len(found))
-                    ids = np.concatenate([*(f[0] for f in found), [sub.end]]).astype(np.int32)
-                    pending.append((at, words, lengths, c, ids))
-                    size, at = size + len(ids), at + 1
-                    if len(cache) > CACHE:
-                        cache.clear()
-                logs, begins = subword_scores(model, [p[4] for p in pending], sub.end)
-                first = 0
-                for i, words, lengths, c, ids in pending:
-                    lp, ls = logs[first : first + len(ids)], begins[first : first + len(ids)]
-                    first += len(ids)
-                    to = np.cumsum(lengths)
-                    run_up = np.concatenate([[0.0], np.cumsum(lp)])
-                    word_log = run_up[to] - run_up[to - lengths] + ls[to] - ls[to - lengths]
-                    seen = c >= 0
-                    known_c = np.append(c[seen], model["ends"])
-                    sub_log = np.append(word_log[seen], lp[-1] - ls[-1])
-                    cold = np.flatnonzero(~seen)
-                    out = (doc_ids[i], held[i], number, len(words) + 1, int((known_c > 0).sum()),
-                           float((np.log10(known_c + 0.5) - unseen).sum()), float(mixed_log10(model, known_c, sub_log).sum()),
-                           [words[j].decode() for j in cold], word_log[cold].tolist())
-                    number += 1
-                    for to_, x in zip(rows, out, strict=True):
-                        to_.append(x)
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
-            names = ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "words", "logs"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=names)
+            pending, size, start = [], 0, 0
+            for i, text in enumerate(texts):  # some documents at a time, so that memory is bounded
+                pending.append(words_of(text))
+                size += len(pending[-1]) + 1
+                if size >= AT_A_TIME // 3 or i == len(texts) - 1:
+                    yield scored(doc_ids[start : i + 1], held[start : i + 1], pending)
+                    pending, size, start = [], 0, i + 1
 
     return run
 

@@ -195,29 +195,66 @@ def test_extraction_edges(spark, labeller):
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     w = {n: x.astype(np.float64) for n, x in lm_scoring.initial().items()}
-    ids, target = rng.integers(0, 50, (3, lm_scoring.WINDOW)), rng.integers(0, 50, (3, lm_scoring.WINDOW))
+    ids, target = rng.integers(0, 300, (3, lm_scoring.WINDOW)), rng.integers(0, 300, (3, lm_scoring.WINDOW))
     valid = rng.random((3, lm_scoring.WINDOW)) < 0.7
-    classes = rng.integers(0, lm_scoring.CLASSES, 50)
-    loss = lambda: -np.take_along_axis(lm_scoring.forward(w, ids, classes)[0], classes[target][..., None], 2)[..., 0][valid].mean()
-    z, kept = lm_scoring.forward(w, ids, classes)
-    g = lm_scoring.backward(w, z, kept, classes[target], valid)
+    classes = rng.integers(0, lm_scoring.END_CLASS + 1, 300)
+
+    def loss():
+        h, kept = lm_scoring.hidden(w, ids, classes)
+        log, _, out = lm_scoring.outputs(w, h[valid], classes[target[valid]])
+        return -log.mean(), kept, h[valid], out
+
+    _, kept, h, out = loss()
+    g = lm_scoring.backward(w, kept, h, classes[target[valid]], valid, out)
     for n in w:
-        at = tuple(rng.integers(0, s) for s in w[n].shape) if n not in ("eb", "ec") else (int(ids[0, 0]) if n == "eb" else int(classes[ids[0, 0]]), 1)
-        old, e = w[n][at], 1e-4
-        w[n][at] = old + e
-        up = loss()
-        w[n][at] = old - e
-        down = loss()
-        w[n][at] = old
-        assert abs((up - down) / (2 * e) - g[n][at]) < 1e-4
+        for _ in range(6):
+            at = tuple(rng.integers(0, s) for s in w[n].shape)
+            at = (int(ids[0, 0]) % lm_scoring.BUCKETS, 1) if n == "eb" else (int(classes[ids[0, 0]]), 1) if n == "ec" else at
+            old, e = w[n][at], 1e-4
+            w[n][at] = old + e
+            up = loss()[0]
+            w[n][at] = old - e
+            down = loss()[0]
+            w[n][at] = old
+            assert abs((up - down) / (2 * e) - g[n][at]) < 1e-4
+
+
+def brute_logs(w, ids, classes, stride, start, end_class):
+    """Log probabilities of a text's classes, token by token, from plain loops over its windows."""
+    size, out = lm_scoring.WINDOW, []
+    for t in range(len(ids)):
+        k = 0 if t < size else -(-(t - size + 1) // stride)  # the first window that reaches the place
+        stream = [end_class, *ids]
+        inside = stream[k * stride : t + 1]
+        x = np.array([w["ec"][classes[i]] + w["eb"][i % lm_scoring.BUCKETS] + w["ep"][p] for p, i in enumerate(inside)], dtype=np.float64)
+        score = x @ w["k"] @ (x[-1] @ w["q"]) / lm_scoring.WIDTH**0.5
+        a = np.exp(score) / np.exp(score).sum()
+        h = x[-1] + a @ (x @ w["v"]) @ w["o"]
+        z = np.exp(h @ w["group"] + w["group_bias"])
+        c = classes[ids[t]]
+        p = z[c // lm_scoring.MEMBERS] / z.sum()
+        if c < lm_scoring.END_CLASS:
+            m = np.exp(h @ w["member"][c // lm_scoring.MEMBERS] + w["member_bias"][c // lm_scoring.MEMBERS])
+            p *= m[c % lm_scoring.MEMBERS] / m.sum()
+        out.append((np.log(p), np.log((z[:start].sum() + z[-1]) / z.sum())))
+    return np.array(out)
+
+
+def test_scores_match_a_token_by_token_model():
+    rng, end = np.random.default_rng(2), 299
+    classes = np.append(rng.integers(0, lm_scoring.END_CLASS, end), lm_scoring.END_CLASS)
+    model = {"weights": lm_scoring.initial(5), "classes": classes, "shares": np.zeros(end + 1, dtype=np.float32)}
+    texts = [np.append(rng.integers(0, end, n), end) for n in (0, 3, 23, 24, 41, 90)]
+    logs, begins = lm_scoring.subword_scores(model, np.concatenate(texts).astype(np.int32), np.array(list(map(len, texts))), end)
+    expected = np.concatenate([brute_logs(model["weights"], t, classes, lm_scoring.STRIDE, lm_scoring.START_GROUPS, end) for t in texts])
+    assert np.abs(logs - expected[:, 0]).max() < 1e-3 and np.abs(begins - expected[:, 1]).max() < 1e-3
 
 
 def test_windows_score_each_token_once():
-    for n in (1, 5, 24, 25, 40, 41, 100):
-        ids = np.arange(n, dtype=np.int32)
-        inputs, target, valid = lm_scoring.windows(ids, 999)
-        assert target[valid].tolist() == ids.tolist()
-        assert inputs[valid].tolist() == [999, *ids[:-1].tolist()]
+    lengths = np.array([1, 5, 24, 25, 40, 42, 43, 100])
+    for stride in (lm_scoring.STRIDE, lm_scoring.WINDOW):
+        at, valid = lm_scoring.windows(lengths, stride)
+        assert at[valid].tolist() == list(range(lengths.sum()))
 
 
 @pytest.mark.parametrize("where", ["saved", "sf"])
@@ -244,22 +281,22 @@ def test_lm_words_sum_to_at_most_one(spark):
     model = lm_scoring.fit(docs)
     counts = {r["word"]: r["c"] for r in model["counts"].collect()}
     sub = lm_scoring.Subwords(model["path"])
-    ids = [np.array([*sub.of(w.encode()), sub.end], dtype=np.int32) for w in counts]
-    logs, begins = lm_scoring.subword_scores(model, ids, sub.end)
-    at, total = 0, 0.0
-    for w, i in zip(counts, ids, strict=True):
-        lp, ls = logs[at : at + len(i)], begins[at : at + len(i)]
-        at += len(i)
-        total += 10 ** lm_scoring.mixed_log10(model, np.array([counts[w]]), np.array([lp[:-1].sum() + ls[-1] - ls[0]]))[0]
+    words = [w.encode() for w in counts]
+    ids, lengths, c, *_ = lm_scoring.WordIds(sub, {w.encode(): n for w, n in counts.items()}).texts([[w] for w in words])
+    assert c.tolist() == list(counts.values())
+    logs, begins = lm_scoring.subword_scores(model, ids, lengths, sub.end)
+    ends = np.cumsum(lengths) - 1
+    sums = np.add.reduceat(logs, ends - lengths + 1) - logs[ends] + begins[ends] - begins[ends - lengths + 1]
+    total = (10 ** lm_scoring.mixed_log10(model, c, sums)).sum()
     assert 0.5 < total < 1.0001
 
 
 def test_lm_training_reaches_every_position():
     sub = lm_scoring.Subwords(lm_scoring.default_vocabulary())
     texts = ["a short text", "another one", None, " ".join(f"word{i}" for i in range(300))]
-    positions = sum(len(lm_scoring._text_ids(sub, {}, t)) for t in texts)
+    positions = sum(sum(len(sub.of(w)) for w in lm_scoring.words_of(t)) + 1 for t in texts)
     classes = np.zeros(sub.end + 1, dtype=np.int32)
-    seen = lm_scoring.train_local(lm_scoring.initial(), iter(texts), lm_scoring.default_vocabulary(), classes, lm_scoring.TRAIN_EVERY)[1]
+    seen = lm_scoring.train_local(lm_scoring.initial(), iter(texts), lm_scoring.default_vocabulary(), classes)[1]
     assert seen == positions
 
 
