@@ -37,6 +37,9 @@ counts in training; an empty table gives no rows; other columns do not pass thro
 from __future__ import annotations
 
 import base64
+import functools
+import struct
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -59,8 +62,8 @@ WIDTH = 16
 BUCKETS = 1024
 WINDOW = 24
 STRIDE = 18
-BATCH = 256
-TRAIN_BATCH = 128
+BATCH = 512
+TRAIN_BATCH, WARM_BATCH = 256, 64
 WARM_DOCS = 400
 RATE = 0.01
 HOT_WORDS = 200_000
@@ -91,6 +94,31 @@ class Subwords:
         return self._encode(" " + word.decode())
 
 
+@functools.cache
+def subwords(path: str) -> Subwords:
+    """One for each Python worker."""
+    return Subwords(path)
+
+
+class Ids(dict):
+    """Bytes of the ids of words, cached for the tasks of a Python worker."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.of = subwords(path).of
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = array("i", self.of(word)).tobytes()
+        if len(word) < 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = out
+        return out
+
+
+cached_ids = functools.cache(Ids)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -108,6 +136,11 @@ def initial(seed: int = 1) -> dict[str, np.ndarray]:
     return weights | {"group_bias": np.zeros(GROUPS + 1, np.float32), "member_bias": np.zeros((GROUPS, MEMBERS), np.float32)}
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, kept; as a product, which is faster than a reduction of so few."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], dtype=x.dtype)).reshape(*x.shape[:-1], 1)
+
+
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 
 
@@ -125,16 +158,16 @@ def hidden(w: dict, ids: np.ndarray, classes: np.ndarray):
     np.clip(s, -60, 60, out=s)
     np.exp(s, out=s)
     s *= _SEEN
-    s /= s.sum(axis=2, keepdims=True)
+    s /= _sums(s)
     mixed = s @ v
     h = x + (mixed.reshape(-1, WIDTH) @ w["o"]).reshape(n, WINDOW, WIDTH)
     return h, (c, b, x, q, k, v, s, mixed)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+    np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= _sums(z)
     return z
 
 
@@ -150,7 +183,7 @@ def outputs(w: dict, h: np.ndarray, target: np.ndarray):
     rows = np.arange(len(h))
     groups = _softmax(h @ w["group"] + w["group_bias"])
     log = np.log(groups[rows, target // MEMBERS])
-    begin = np.log(groups[:, :START_GROUPS].sum(axis=1) + groups[:, GROUPS])
+    begin = np.log(_sums(groups[:, :START_GROUPS])[:, 0] + groups[:, GROUPS])
     parts = []
     for g, at in enumerate(by_group(target)):
         members = _softmax(h[at] @ w["member"][g] + w["member_bias"][g])
@@ -180,17 +213,18 @@ def backward(w: dict, kept, h: np.ndarray, target: np.ndarray, valid: np.ndarray
     dm = (flat(dh) @ w["o"].T).reshape(x.shape)
     da = dm @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dm
-    da -= (da * a).sum(2, keepdims=True)
+    da -= _sums(da * a)
     da *= a
     dq, dk = da @ k, da.transpose(0, 2, 1) @ q
     dx = dh
     for n, d, scale in (("q", dq, WIDTH**-0.5), ("k", dk, 1.0), ("v", dv, 1.0)):
         g[n] = flat(x).T @ flat(d) * scale
-        dx = dx + (flat(d) @ (w[n].T * scale)).reshape(x.shape)
+        dx += (flat(d) @ (w[n].T * scale)).reshape(x.shape)
     g["ep"] = dx.sum(0)
+    columns = flat(dx).T.astype(np.float64)
     for n, at, size in (("ec", c, END_CLASS + 1), ("eb", b, BUCKETS)):
         at = at.ravel()
-        g[n] = np.stack([np.bincount(at, weights=dx[..., j].ravel(), minlength=size) for j in range(WIDTH)], 1).astype(np.float32)
+        g[n] = np.stack([np.bincount(at, weights=x, minlength=size) for x in columns], 1).astype(w[n].dtype)
     return g
 
 
@@ -246,7 +280,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_subwords(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = Subwords(path)
+        sub = subwords(path)
         total = np.zeros(sub.end + 1, dtype=np.int64)
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -277,12 +311,12 @@ def subword_classes(totals: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
 class WordIds(dict):
     """For a word the bytes of its count (a double; -1 where it is not among ``counts``) and of its subword ids, cached."""
 
-    def __init__(self, sub: Subwords, counts: dict[bytes, int]):
+    def __init__(self, path: str, counts: dict[bytes, int]):
         super().__init__()
-        self.sub, self.counts = sub, counts
+        self.end, self.ids, self.counts = subwords(path).end, cached_ids(path), counts
 
     def __missing__(self, word: bytes) -> bytes:
-        out = np.float64(self.counts.get(word, -1)).tobytes() + np.array(self.sub.of(word), dtype=np.int32).tobytes()
+        out = struct.pack("d", self.counts.get(word, -1)) + self.ids[word]
         if len(word) < 64:
             self[word] = out
         return out
@@ -303,24 +337,23 @@ class WordIds(dict):
         first = np.cumsum(sizes - 2) - (sizes - 2) + text_of
         lengths = np.bincount(text_of, weights=sizes - 2, minlength=len(texts)).astype(np.int64) + 1
         ends = np.cumsum(lengths) - 1
-        ids = np.full(int(lengths.sum()), self.sub.end, dtype=np.int32)
+        ids = np.full(int(lengths.sum()), self.end, dtype=np.int32)
         inside = np.ones(len(ids), dtype=bool)
         inside[ends] = False
         ids[inside] = raw[body]
         return ids, lengths, counts, first, text_of
 
 
-def train_local(weights: dict, texts: Iterator[str | None], path: str, classes: np.ndarray) -> tuple[dict, int]:
+def train_local(weights: dict, texts: Iterator[str | None], path: str, classes: np.ndarray, size_of_batch: int = TRAIN_BATCH) -> tuple[dict, int]:
     """Weights after Adam over all windows of the texts, end to end, and the positions seen."""
-    sub = Subwords(path)
-    words, model, seen, held, size = WordIds(sub, {}), Adam(weights), 0, [], 0
+    words, model, seen, held, size = WordIds(path, {}), Adam(weights), 0, [], 0
 
     def learn() -> int:
         ids, lengths, *_ = words.texts(held)
         at, valid = windows(lengths, WINDOW)
-        stream = np.concatenate([[sub.end], ids]).astype(np.int32)
-        for i in range(0, len(at), TRAIN_BATCH):
-            cut = slice(i, i + TRAIN_BATCH)
+        stream = np.concatenate([[words.end], ids]).astype(np.int32)
+        for i in range(0, len(at), size_of_batch):
+            cut = slice(i, i + size_of_batch)
             model.step(stream[at[cut]], stream[at[cut] + 1], valid[cut], classes)
         return len(ids)
 
@@ -372,7 +405,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None) -> dict:
     flat = _pack(initial())
 
     def warmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, _ = train_local(_unpack(flat), (t for b in batches for t in b.column(0).to_pylist()), path, classes)
+        w, _ = train_local(_unpack(flat), (t for b in batches for t in b.column(0).to_pylist()), path, classes, WARM_BATCH)
         yield pa.RecordBatch.from_arrays([pa.array([_pack(w).tobytes()])], names=["weights"])
 
     # About WARM_DOCS documents by hash, to one task.
@@ -432,13 +465,13 @@ SCORED = (
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        sub, number = Subwords(model["path"]), TaskContext.get().partitionId() << 33
-        cache, unseen = WordIds(sub, model["hot"]), np.log10(model["n"] + 0.5 * (model["v"] + 1))
+        number = TaskContext.get().partitionId() << 33
+        cache, unseen = WordIds(model["path"], model["hot"]), np.log10(model["n"] + 0.5 * (model["v"] + 1))
 
         def scored(doc_ids: list, held: list, texts: list[list[bytes]]) -> pa.RecordBatch:
             nonlocal number
             ids, lengths, counts, first, text_of = cache.texts(texts)
-            logs, begins = subword_scores(model, ids, lengths, sub.end)
+            logs, begins = subword_scores(model, ids, lengths, cache.end)
             run_up = np.concatenate([[0.0], np.cumsum(logs)])
             ends = np.cumsum(lengths) - 1
             after = np.append(first[1:], 0)

@@ -282,7 +282,7 @@ def test_lm_words_sum_to_at_most_one(spark):
     counts = {r["word"]: r["c"] for r in model["counts"].collect()}
     sub = lm_scoring.Subwords(model["path"])
     words = [w.encode() for w in counts]
-    ids, lengths, c, *_ = lm_scoring.WordIds(sub, {w.encode(): n for w, n in counts.items()}).texts([[w] for w in words])
+    ids, lengths, c, *_ = lm_scoring.WordIds(model["path"], {w.encode(): n for w, n in counts.items()}).texts([[w] for w in words])
     assert c.tolist() == list(counts.values())
     logs, begins = lm_scoring.subword_scores(model, ids, lengths, sub.end)
     ends = np.cumsum(lengths) - 1
