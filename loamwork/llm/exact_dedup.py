@@ -1,15 +1,18 @@
 """Exact dedup: two-pass Bloom filtering, so that only possibly repeated rows shuffle.
 
-Pass one: every task turns the digests of its rows into positions of a blocked
-bit table and sends them, delta-coded by table range (a few bytes a row). One
-merge per range keeps two bit tables, *once* and *twice*; a position seen by a
-second row sets *twice*. Pass two tests each row against the *twice* table: a
-row with a clear bit has no equal and passes straight through. The others, true
-repeats and a few false positives, shuffle by digest and are grouped exactly.
-
-The table has about 16 bits a row and at most ``MAX_BITS`` (128 MiB), so what is
-broadcast is bounded. Beyond that bound more rows than needed shuffle; results
-stay exact.
+Digests are made once and written to the shared scratch folder. The Bloom table has
+``BITS_PER_ROW`` bits a row, however many rows, in blocks of ``BLOCK_BITS``; a digest's
+three bits are in one block. Pass one: every task turns the distinct digests of its rows
+into places in their blocks and sends those (six bytes each, packed). One merge a block
+keeps two bit tables, *once* and *twice*: a digest whose bits another emission has set,
+or that its own task met again, sets its bits in *twice*. Pass two tests each row
+against the *twice* table: a row with a clear bit has no equal and passes straight
+through. The others, true repeats and a few false positives, shuffle by digest and are
+grouped exactly.
+
+What is broadcast at a time is a slice of the table of at most ``SLICE_BITS`` (128 MiB),
+and of it only blocks with a bit in *twice*. A larger table is tested slice by slice, each
+over the digests that fall into it, so the method holds for any number of rows.
 
 Defined results: a null text counts as empty. A null doc_id loses to any other;
 a group with null ids only has keep_id null and keeps its rows' ids null. Rows
@@ -25,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, read, text_or_empty
 
 BITS_PER_ROW = 16
-MIN_BITS = 1 << 16
-MAX_BITS = 1 << 30
-RANGE_BITS = 1 << 16
+BLOCK_BITS = 1 << 16
+SLICE_BITS = 1 << 30
 HASHES = 3
+#: Digests that a task of pass one holds at a time.
+HELD = 1_000_000
 
 
 def digest(text: Column) -> Column:
@@ -42,103 +47,104 @@ def digest(text: Column) -> Column:
     return F.sha2(ascii_lower(text_or_empty(text)).cast("binary"), 256)
 
 
-def table_bits(rows: int) -> int:
-    """Bits of the table for so many rows: a power of two within the bounds."""
-    return min(MAX_BITS, max(MIN_BITS, 1 << int(max(1, rows * BITS_PER_ROW) - 1).bit_length()))
-
-
-def positions(prefix: np.ndarray, bits: int) -> np.ndarray:
-    """(rows, HASHES) positions from 60-bit digest prefixes, by double hashing."""
-    h = prefix.astype(np.uint64)
-    step = ((h >> np.uint64(29)) | np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    k = np.arange(HASHES, dtype=np.uint64)
-    return ((h[:, None] + k * step[:, None]) >> np.uint64(3)) & np.uint64(bits - 1)
-
-
-def _pack(sorted_pos: np.ndarray) -> bytes:
-    return sorted_pos.astype(np.uint16).tobytes()
-
-
-def _pass_one(bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(0, dtype=np.uint64)
-        twice = np.zeros(0, dtype=np.uint64)
-
-        def emit():
-            out = []
-            for kind, pos in ((1, np.unique(seen)), (2, np.unique(twice))):
-                cuts = np.flatnonzero(np.diff(pos // RANGE_BITS)) + 1
-                for part in np.split(pos, cuts):
-                    if len(part):
-                        out.append((int(part[0] // RANGE_BITS), kind, _pack(part % RANGE_BITS)))
-            return pd.DataFrame(out, columns=["range_id", "kind", "packed"])
-
-        for pdf in batches:
-            pos = positions(pdf["prefix"].to_numpy(), bits)
-            # A row whose positions were all seen before may repeat an earlier row.
-            values, counts = np.unique(pdf["prefix"].to_numpy(), return_counts=True)
-            again = positions(values[counts > 1], bits).ravel()
-            known = np.isin(pos, seen).all(axis=1) if len(seen) else np.zeros(len(pos), bool)
-            twice = np.union1d(twice, np.concatenate([again, pos[known].ravel()]))
-            seen = np.union1d(seen, pos.ravel())
-            if len(seen) > 4_000_000:  # bounded memory: what was seen goes out as one emission
-                yield emit()
-                seen, twice = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-        if len(seen):
-            yield emit()
+def table_blocks(rows: int) -> int:
+    """Blocks of the table for so many rows."""
+    return max(1, -(-rows * BITS_PER_ROW // BLOCK_BITS))
+
+
+def places(prefix: np.ndarray) -> np.ndarray:
+    """(rows, HASHES) places within their block from 60-bit digest prefixes."""
+    mixed = prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    return np.stack([mixed >> np.uint64(16 * k) for k in range(HASHES)], axis=1).astype(np.uint16)
+
+
+def _pass_one(blocks: int):
+    def emission(prefixes: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(prefixes), return_counts=True)
+        again, block = counts > 1, values % blocks
+        order = np.lexsort((again, block))
+        values, again, block = values[order], again[order], block[order]
+        cuts = np.flatnonzero(np.diff(block * 2 + again, prepend=-1))
+        packed = places(values)
+        ends = np.append(cuts[1:], len(values))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[cuts]), pa.array(again[cuts]), pa.array([packed[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary())],
+            names=["block", "again", "packed"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            size += batch.num_rows
+            if size >= HELD:
+                yield emission(held)
+                held, size = [], 0
+        if size:
+            yield emission(held)
 
     return run
 
 
 def _merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    once, twice = np.zeros(RANGE_BITS, bool), np.zeros(RANGE_BITS, bool)
-    for kind, packed in zip(pdf["kind"], pdf["packed"], strict=True):
-        pos = np.frombuffer(packed, dtype=np.uint16)
-        if kind == 1:
-            twice[pos[once[pos]]] = True
-            once[pos] = True
-        else:
-            twice[pos] = True
-    return pd.DataFrame({"range_id": [int(key[0])], "bits": [np.packbits(twice, bitorder="little").tobytes()]})
-
-
-def repeat_filter(prefixes: DataFrame, rows: int):
-    """A pandas UDF that tells whether a row with this digest prefix may have an equal."""
-    spark = prefixes.sparkSession
-    bits = table_bits(rows)
-    merged = (
-        prefixes.mapInPandas(_pass_one(bits), "range_id long, kind int, packed binary")
-        .groupBy("range_id")
-        .applyInPandas(_merge, "range_id long, bits binary")
-    )
-    table = np.zeros(bits // 8, dtype=np.uint8)
-    for row in merged.toLocalIterator():  # at most MAX_BITS / 8 bytes in all
-        at = row["range_id"] * (RANGE_BITS // 8)
-        table[at : at + RANGE_BITS // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def maybe_repeated(prefix: pd.Series) -> pd.Series:
-        pos = positions(prefix.to_numpy(), bits)
-        t = shared.value
-        return pd.Series(((t[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1))
-
-    return maybe_repeated
-
-
-def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with keep_id, group_size, kept and text_sha256 for every row."""
+    once, twice = np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
+    for again, packed in zip(pdf["again"], pdf["packed"], strict=True):
+        at = np.frombuffer(packed, dtype=np.uint16).reshape(-1, HASHES)
+        twice[at if again else at[once[at].all(axis=1)]] = True
+        once[at] = True
+    bits = np.packbits(twice, bitorder="little").tobytes() if twice.any() else b""
+    return pd.DataFrame({"block": [int(key[0])], "bits": [bits]})
+
+
+def maybe_repeated(digests: DataFrame, rows: int, slice_bits: int = SLICE_BITS) -> DataFrame:
+    """``digests`` (with column __prefix) with __maybe: whether a row may have an equal."""
+    spark, blocks, width = digests.sparkSession, table_blocks(rows), slice_bits // BLOCK_BITS
+    merged = digests.select("__prefix").mapInArrow(_pass_one(blocks), "block long, again boolean, packed binary")
+    merged = materialize(merged.groupBy("block").applyInPandas(_merge, "block long, bits binary").filter(F.length("bits") > 0), "bloom")
+
+    def tested(first: int, part: DataFrame) -> DataFrame:
+        # At most ``slice_bits`` bits come to the driver and are broadcast.
+        found = merged.filter((F.col("block") >= first) & (F.col("block") < first + width)).toArrow()
+        numbers = found.column("block").to_numpy()
+        table = np.frombuffer(b"".join(found.column("bits").to_pylist()), dtype=np.uint8).reshape(-1, BLOCK_BITS // 8)
+        order = np.argsort(numbers)
+        shared = spark.sparkContext.broadcast((numbers[order], table[order]))
+
+        @F.pandas_udf("boolean")
+        def maybe(prefix: pd.Series) -> pd.Series:
+            blocks_with, bits = shared.value
+            values = prefix.to_numpy()
+            if not len(blocks_with):
+                return pd.Series(np.zeros(len(values), bool))
+            at = np.minimum(np.searchsorted(blocks_with, values % blocks), len(blocks_with) - 1)
+            spots = places(values)
+            hit = (bits[at[:, None], spots >> 3] >> (spots & 7).astype(np.uint8)) & 1
+            return pd.Series((blocks_with[at] == values % blocks) & hit.astype(bool).all(axis=1))
+
+        return part.withColumn("__maybe", maybe("__prefix"))
+
+    if blocks <= width:
+        return tested(0, digests)
+    slice_of = F.expr(f"(__prefix % {blocks}) div {width}")
+    parts = [tested(k * width, digests.filter(slice_of == k)) for k in range(-(-blocks // width))]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_text: bool = True) -> DataFrame:
+    """``df`` with keep_id, group_size, kept and text_sha256 for every row; ``carry_text=False`` leaves the text out."""
     own = ["keep_id", "group_size", "kept", "text_sha256", "__prefix", "__maybe"]
-    df = df.select(*[c for c in df.columns if c not in own])
-    hashed = df.withColumn("text_sha256", digest(F.col(text_col))).withColumn(
-        "__prefix", F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")
-    )
-    maybe = repeat_filter(hashed.select(F.col("__prefix").alias("prefix")), df.count())
-    flagged = hashed.withColumn("__maybe", maybe("__prefix"))
-    out = [*df.columns, "keep_id", "group_size", "kept", "text_sha256"]
+    columns = [c for c in df.columns if c not in own and (carry_text or c != text_col)]
+    hashed = df.select(*columns, digest(F.col(text_col)).alias("text_sha256"))
+    hashed = materialize(hashed.withColumn("__prefix", F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")), "digests")
+    flagged = maybe_repeated(hashed, hashed.count())
+    out = [*columns, "keep_id", "group_size", "kept", "text_sha256"]
 
     alone = flagged.filter(~F.col("__maybe")).select(
-        *df.columns,
+        *columns,
         F.col(id_col).alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
@@ -164,7 +170,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return annotate(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return annotate(docs, carry_text=False).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP4_SQL = """

@@ -44,12 +44,19 @@ def test_exact_dedup_keeps_one_row_of_each_text(spark, docs):
     assert sorted(fold(r["text"]) for r in kept.collect()) == sorted({fold(r["text"]) for r in docs.collect()})
 
 
-def test_bloom_positions_find_every_repeat():
+def test_bloom_table_by_slices(spark):
+    """Several slices of the table flag every repeat and few other rows, as one slice does."""
     rng = np.random.default_rng(3)
-    prefix = rng.integers(0, 1 << 60, 5000)
-    pos = exact_dedup.positions(prefix, 1 << 16)
-    assert pos.max() < 1 << 16 and (exact_dedup.positions(prefix.copy(), 1 << 16) == pos).all()
-    assert exact_dedup.table_bits(10**12) == exact_dedup.MAX_BITS
+    values = rng.integers(0, 1 << 60, 20_000)
+    values[15_000:] = values[:5_000]
+    df = spark.createDataFrame([(int(v),) for v in values], "__prefix long")
+    for bits in (exact_dedup.SLICE_BITS, 2 * exact_dedup.BLOCK_BITS):
+        flagged = exact_dedup.maybe_repeated(df, len(values), bits).collect()
+        assert len(flagged) == len(values)
+        repeated = set(values[:5_000].tolist())
+        assert all(r["__maybe"] for r in flagged if r["__prefix"] in repeated)
+        assert sum(r["__maybe"] for r in flagged if r["__prefix"] not in repeated) < 300
+    assert exact_dedup.table_blocks(10**12) * exact_dedup.BLOCK_BITS >= 16 * 10**12
 
 
 @pytest.mark.parametrize("where", ["saved", "sf"])
@@ -72,6 +79,15 @@ def test_sharding(spark, where, request):
         assert abs(r["count"] - share[r["source"]] / 8) <= 2
 
 
+def test_sharding_of_many_small_sources(spark):
+    """A source of 4,000 rows, 4,000 of one row, and null ids: every shard matches the mixture."""
+    rows = [(i, "t", "big") for i in range(4000)] + [(4000 + i, "t", f"s{i}") for i in range(4000)] + [(None, "t", "nameless")] * 2000
+    got = sharding.interleaved_shards(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    counts = Counter((r["shard"], "s" if r["source"].startswith("s") else r["source"]) for r in got)
+    for shard in range(8):
+        assert abs(counts[shard, "big"] - 500) <= 25 and abs(counts[shard, "nameless"] - 250) <= 25 and abs(counts[shard, "s"] - 500) <= 50
+
+
 def test_sharding_is_the_same_for_any_layout(spark, docs):
     a = sharding.interleaved_shards(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))
     b = sharding.interleaved_shards(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).repartition(3))
