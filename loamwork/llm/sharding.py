@@ -1,18 +1,21 @@
 """Sharding: proportional stratified interleaving.
 
 Rows are shuffled by a seeded hash within each source and ranked; row r of n gets
-the fractional rank (r - 0.5) / n. Sorted by fractional rank every stretch holds
-the sources in their proportions, so cutting the order into equal stretches gives
-shards that all match the mixture, with row counts at most one apart.
+the fractional rank (r + u) / n, with u in [0, 1) from the hash of the source, so that
+sources of one row or few lie evenly, too. Sorted by fractional rank every stretch
+holds the sources in their proportions, so cutting the order into equal stretches
+gives shards that all match the mixture, with row counts at most one apart.
 
 Ranks are made without a task that sees a whole source: rows fall into buckets of
-the sort key, bucket counts are summed to offsets, and rows are numbered only
+the sort key, bucket counts are summed to offsets in two levels (buckets within
+stretches of ``STRETCH`` buckets, then the stretches), and rows are numbered only
 within a bucket. Bucket numbers follow the row count, so a bucket holds about
 ``ROWS_PER_BUCKET`` rows whatever the size of the hottest source. The text is
 read once and only its size and checksum go on.
 
 Defined results: a null text has size 1 and checksum 0; null sources form one
-source; ties in the hash order by doc_id, checksum and size; fully repeated rows
+source; ties in the hash order by doc_id, checksum and size; rows with a null doc_id
+are shuffled by their place in the input; fully repeated rows with a doc_id
 take neighbouring places in any order; an empty table gives no rows. Fewer rows
 than shards leave the last places empty. Other columns do not pass through.
 """
@@ -25,21 +28,32 @@ from pyspark.sql import functions as F
 from .common import materialize, read, text_or_empty
 
 ROWS_PER_BUCKET = 2_000
+STRETCH = 1_000
 HASH_BITS = 60
 
 
 def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
     """``df`` with 0-based column ``name``, the rank by (bucket, order) within group, and the group's row count ``of``."""
     df = df.withColumn("__bucket", bucket)
-    counts = df.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     # One row a bucket: far fewer than rows, and a count each.
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__bucket")
-    offsets = counts.select(
-        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
-        F.col("__bucket").alias("__b"),
-        (F.sum("__n").over(w) - F.col("__n")).alias("__before"),
+    counts = df.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__stretch", F.expr(f"__bucket div {STRETCH}"))
+    counts = materialize(counts, f"{name}-buckets")
+    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__stretch")
+    stretches = counts.groupBy(*group, "__stretch").agg(F.sum("__n").alias("__n")).select(
+        *[F.col(g).alias(f"__s{i}") for i, g in enumerate(group)],
+        F.col("__stretch").alias("__s"),
+        (F.sum("__n").over(w) - F.col("__n")).alias("__earlier"),
         F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("of"),
-    )
+    )
+    on = F.col("__stretch") == F.col("__s")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"__s{i}"))
+    within = Window.partitionBy(*group, "__stretch").orderBy("__bucket")
+    summed = counts.withColumn("__before", F.sum("__n").over(within) - F.col("__n")).join(stretches, on)
+    offsets = summed.select(
+        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
+        F.col("__bucket").alias("__b"), (F.col("__before") + F.col("__earlier")).alias("__before"), "of",
+    )
     inner = Window.partitionBy(*group, "__bucket").orderBy(*order)
     numbered = df.withColumn("__in", F.row_number().over(inner) - 1)
     on = F.col("__bucket") == F.col("__b")
@@ -60,7 +74,8 @@ def interleaved_shards(
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text_crc32").cast("string")).cast("binary"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), named, F.col("text_crc32").cast("string")).cast("binary"))
     digest = materialize(
         digest.withColumn("key", F.conv(F.substring(shuffled, 1, HASH_BITS // 4), 16, 10).cast("long")), "shard-digest"
     )
@@ -69,8 +84,9 @@ def interleaved_shards(
     ties = ["doc_id", "text_crc32", "size"]
     width = -(-(1 << HASH_BITS) // buckets)
     ranked = _ranked(digest, ["source"], F.expr(f"key div {width}"), ["key", *ties], "rank")
+    offset = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30)) / (1 << 30)
     fractional = materialize(
-        ranked.withColumn("fraction", (F.col("rank") + 0.5) / F.col("of")).drop("rank", "of"), "shard-fraction"
+        ranked.withColumn("fraction", (F.col("rank") + offset) / F.col("of")).drop("rank", "of"), "shard-fraction"
     )
     placed = _ranked(
         fractional, [], F.floor(F.col("fraction") * buckets).cast("long"), ["fraction", "source", "key", *ties], "place"
