@@ -35,7 +35,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,9 +124,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
     counts = {int(r["label"]): r["n"] for r in table.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most three rows
     n, present = sum(counts.values()), sorted(counts)
     shares = [counts.get(d, 0) / n if n else 1 / len(DOMAINS) for d in range(len(DOMAINS))]
-    if len(present) < 2 or table.filter(F.size("__numbers") > 0).isEmpty():
+    often = table.select(F.explode("__numbers").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SHARE * n)
+    vocabulary = [r["place"] for r in often.select("place").orderBy("place").collect()]  # at most ``WIDTH``, of which few are that frequent
+    if len(present) < 2 or not vocabulary:
         return shares, None, {}
-    counter = CountVectorizer(inputCol="__numbers", outputCol="__features", vocabSize=WIDTH, minDF=max(1.0, MIN_SHARE * n), binary=True).fit(table)
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__numbers", outputCol="__features").setBinary(True)
     fitted = LogisticRegression(
         featuresCol="__features", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=80,
     ).fit(counter.transform(table))
@@ -134,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
     scores_of = {}
     for k in present[1:]:
         weights = [0.0] * WIDTH
-        for place, weight in zip(counter.vocabulary, (matrix[k] - matrix[first]).tolist(), strict=True):
+        for place, weight in zip(vocabulary, (matrix[k] - matrix[first]).tolist(), strict=True):
             weights[int(place)] = weight
         scores_of[k] = (float(intercepts[k] - intercepts[first]), weights)
     return shares, first, scores_of
