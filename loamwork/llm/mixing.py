@@ -18,7 +18,8 @@ weights: down where they have more, and up, by rates above 1, where they have le
 Achieved shares are compared with the wanted ones, and a miss (a domain without any
 tokens cannot be filled) is logged as a warning. The classifier is fitted on at most
 ``sample`` labelled documents in hash order (a documented bound), with the features
-that ``MIN_SHARE`` of them have. Tokens are the runs of characters other than white
+that ``MIN_SHARE`` of them have; a feature goes by its 64-bit name, so that other words
+that share its place have no weight. Tokens are the runs of characters other than white
 space and ``.,;:?!``; the classifier also splits runs of symbols off its words, and
 runs of symbols and punctuation are features of their own.
 
@@ -46,7 +47,7 @@ TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 SAMPLE = 20_000
 WIDTH = 1 << 17
 #: Features of fewer of the labelled documents than this share are left out.
-MIN_SHARE = 0.001
+MIN_SHARE = 0.003
 STEM = 5
 SEPARATORS = r"[\x20\x09-\x0D.,;:?!]+"
 SYMBOLS = r"[#*$%&|<>]+"
@@ -77,36 +78,46 @@ def features(distinct: Column, text: Column) -> Column:
     return F.array_distinct(F.concat(plain, F.array_remove(parts, ""), runs))
 
 
-def places(distinct: Column) -> Column:
-    """Distinct places in a vector of ``WIDTH`` of the hashes of distinct words and of their beginnings."""
-    whole = F.transform(distinct, lambda w: F.pmod(F.hash(w), F.lit(WIDTH)))
-    stems = F.transform(distinct, lambda w: F.pmod(F.hash(F.substring(w, 1, STEM), F.lit(STEM)), F.lit(WIDTH)))
-    return F.array_distinct(F.concat(whole, stems))
+def names_of(distinct: Column) -> Column:
+    """Distinct 64-bit names of distinct words and of their beginnings."""
+    stems = F.transform(distinct, lambda w: F.xxhash64(F.substring(w, 1, STEM), F.lit(STEM)))
+    return F.array_distinct(F.concat(F.transform(distinct, lambda w: F.xxhash64(w)), stems))
 
 
-def _sum_at(weights: Column, at: Column) -> Column:
-    return F.aggregate(at, F.lit(0.0), lambda acc, i: acc + weights[i])
+def place(name: Column) -> Column:
+    """Where a feature's name and weights stand, if it has any."""
+    return F.pmod(name, F.lit(WIDTH)).cast("int")
 
 
-def _softmax(numbers: Column, scores_of: dict[int, tuple[float, list[float]]], first: int, counted: DataFrame) -> DataFrame:
-    """``counted`` with array ``posterior``; a domain's score against domain ``first`` is a sum of weights, looked up in an array.
+def _sum_at(weights: Column, at: Column, start: float) -> Column:
+    return F.aggregate(at, F.lit(start), lambda acc, i: acc + weights[i])
 
-    The arrays have ``WIDTH`` weights whatever the input; they are rows of a table and reach tasks as scalar subqueries.
+
+def _softmax(names: Column, model: dict, counted: DataFrame) -> DataFrame:
+    """``counted`` with array ``posterior``; a domain's score against the first domain is the sum of the weights of the features that have any.
+
+    The arrays of names and weights have ``WIDTH`` elements whatever the input; they are the row of a table and reach tasks as a scalar subquery.
     """
-    spark, scores = counted.sparkSession, {first: F.lit(0.0)}
-    for k, (intercept, weights) in scores_of.items():
-        table = materialize(spark.createDataFrame([(weights,)], "w array<double>"), "weights")
-        counted = counted.withColumn(f"__w{k}", table.scalar())
-        total = F.lit(intercept) + _sum_at(F.col(f"__w{k}"), numbers)
-        scores[k] = F.greatest(F.lit(-300.0), F.least(F.lit(300.0), total))
-    counted = counted.select(*[c for c in counted.columns if not c.startswith("__w")], *[F.exp(v).alias(f"__e{k}") for k, v in scores.items()])
-    whole = sum((F.col(f"__e{k}") for k in scores_of), F.col(f"__e{first}"))
-    posterior = F.array(*[F.col(f"__e{d}") / whole if d in scores else F.lit(0.0) for d in range(len(DOMAINS))])
-    return counted.withColumn("posterior", posterior).drop(*[f"__e{k}" for k in scores])
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id"):
-    """Shares of the domains among the labelled documents, the first domain, and (intercept, weights) of each other one."""
+    others = sorted(model["scores"])
+    columns = [model["names"], *(model["scores"][k][1] for k in others)]
+    fields = ["names", *(f"w{k}" for k in others)]
+    schema = "names array<long>, " + ", ".join(f"{f} array<double>" for f in fields[1:])
+    table = materialize(counted.sparkSession.createDataFrame([tuple(columns)], schema), "weights")
+    known = counted.withColumn("__known", table.select(F.struct(*fields)).scalar())
+    hits = F.transform(F.filter(names, lambda x: F.col("__known.names")[place(x)] == x), place)
+    known = known.withColumn("__hits", hits)
+    exps = {model["first"]: F.lit(1.0)}
+    for k in others:
+        total = _sum_at(F.col(f"__known.w{k}"), F.col("__hits"), model["scores"][k][0])
+        exps[k] = F.exp(F.greatest(F.lit(-300.0), F.least(F.lit(300.0), total)))
+    known = known.select(*counted.columns, *[v.alias(f"__e{k}") for k, v in exps.items()])
+    whole = sum((F.col(f"__e{k}") for k in others), F.col(f"__e{model['first']}"))
+    posterior = F.array(*[F.col(f"__e{d}") / whole if d in exps else F.lit(0.0) for d in range(len(DOMAINS))])
+    return known.withColumn("posterior", posterior).drop(*[f"__e{k}" for k in exps])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> dict:
+    """The classifier: shares of the domains among the labelled documents; names of its features by place; intercept and weights of each domain but the first."""
     good = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     picked = good.select(F.col("doc_id").alias("__label_id"), domain(F.col("quality"), F.col("toxic")).alias("label")).distinct()
     picked = picked.orderBy(F.xxhash64("__label_id"), "__label_id", "label").limit(sample)
@@ -118,40 +129,44 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
         .agg(F.min("__text").alias("__text"))
     )
     words = features(F.array_distinct(tokens(F.col("__text"))), F.col("__text"))
-    numbers = F.transform(F.col("__words"), lambda i: i.cast("string"))
-    table = labelled.withColumn("__words", words).withColumn("__words", places(F.col("__words"))).select("label", numbers.alias("__numbers"))
+    table = labelled.withColumn("__words", words).select("label", names_of(F.col("__words")).alias("__names"))
     table = materialize(table, "labelled")
     counts = {int(r["label"]): r["n"] for r in table.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most three rows
     n, present = sum(counts.values()), sorted(counts)
-    shares = [counts.get(d, 0) / n if n else 1 / len(DOMAINS) for d in range(len(DOMAINS))]
-    often = table.select(F.explode("__numbers").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SHARE * n)
-    vocabulary = [r["place"] for r in often.select("place").orderBy("place").collect()]  # at most ``WIDTH``, of which few are that frequent
+    model = {"shares": [counts.get(d, 0) / n if n else 1 / len(DOMAINS) for d in range(len(DOMAINS))], "first": None, "scores": {}}
+    often = table.select(F.explode("__names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SHARE * n)
+    # A place has one feature, the most frequent of those that fall there: at most ``WIDTH`` rows.
+    kept = often.groupBy(place(F.col("name")).alias("place")).agg(F.max(F.struct("n", "name")).alias("top")).select("place", "top.name")
+    vocabulary = [(r["place"], r["name"]) for r in kept.orderBy("place").collect()]
     if len(present) < 2 or not vocabulary:
-        return shares, None, {}
-    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__numbers", outputCol="__features").setBinary(True)
+        return model
+    counter = CountVectorizerModel.from_vocabulary([str(x) for _, x in vocabulary], inputCol="__names", outputCol="__features").setBinary(True)
+    strings = table.withColumn("__names", F.transform("__names", lambda x: x.cast("string")))
     fitted = LogisticRegression(
         featuresCol="__features", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=80,
-    ).fit(counter.transform(table))
+    ).fit(materialize(counter.transform(strings).select("label", "__features"), "vectors"))
     matrix, intercepts, first = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray(), present[0]
-    scores_of = {}
+    model |= {"first": first, "names": [0] * WIDTH}
+    for at, name in vocabulary:
+        model["names"][at] = name
     for k in present[1:]:
         weights = [0.0] * WIDTH
-        for place, weight in zip(vocabulary, (matrix[k] - matrix[first]).tolist(), strict=True):
-            weights[int(place)] = weight
-        scores_of[k] = (float(intercepts[k] - intercepts[first]), weights)
-    return shares, first, scores_of
+        for (at, _), weight in zip(vocabulary, (matrix[k] - matrix[first]).tolist(), strict=True):
+            weights[at] = weight
+        model["scores"][k] = (float(intercepts[k] - intercepts[first]), weights)
+    return model
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the text, with array ``posterior`` by domain and ``n_tokens`` (words)."""
-    shares, first, scores_of = train(docs, labels, sample, text_col, id_col)
+    model = train(docs, labels, sample, text_col, id_col)
     counted = docs.withColumn("__tokens", tokens(F.col(text_col)))
     words = features(F.array_distinct("__tokens"), F.col(text_col))
     counted = counted.withColumns({"n_tokens": F.size("__tokens").cast("long"), "__words": words}).drop("__tokens", text_col)
-    if first is None:
-        return counted.drop("__words").withColumn("posterior", F.array(*map(F.lit, shares)))
-    counted = counted.withColumn("__numbers", places(F.col("__words"))).drop("__words")
-    return _softmax(F.col("__numbers"), scores_of, first, counted).drop("__numbers")
+    if model["first"] is None:
+        return counted.drop("__words").withColumn("posterior", F.array(*map(F.lit, model["shares"])))
+    counted = counted.withColumn("__names", names_of(F.col("__words"))).drop("__words")
+    return _softmax(F.col("__names"), model, counted).drop("__names")
 
 
 def stepped(rate: Column, errors: list[Column]) -> Column:
