@@ -68,10 +68,10 @@ def _braced(sql: str, names: list[str]) -> str:
     return sql
 
 
-@query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity > 45")
+@query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01' AND l_quantity > 45")
 def scan_parquet(spark, d):
     df = read_path(spark, f"{d}/lineitem.parquet")
-    return df.filter("l_shipdate < timestamp_ntz '1995-01-01' and l_quantity > 45").select("l_orderkey", "l_quantity")
+    return df.filter("l_shipdate < timestamp_ntz '1999-01-01' and l_quantity > 45").select("l_orderkey", "l_quantity")
 
 
 @query("SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) AS t(name, type)")
@@ -287,9 +287,13 @@ def minhash_signature(spark, d):
     return table(spark, d, "part").select("p_partkey", sig.alias("s")).select("p_partkey", *[F.col("s")[i].alias(f"m{i}") for i in range(4)])
 
 
-@query()
+@query("""SELECT s_suppkey AS id, s_suppkey AS cluster FROM supplier WHERE s_suppkey % 5 = 0
+UNION ALL SELECT s_suppkey + 1000000, s_suppkey FROM supplier WHERE s_suppkey % 5 = 0""")
 def near_dup_clusters(spark, d):
-    return NearDuplicateDetector(threshold=0.85, key="s_suppkey").clusters(table(spark, d, "supplier"))
+    """Suppliers of which a fifth come twice, under another key."""
+    df = table(spark, d, "supplier")
+    copies = df.filter("s_suppkey % 5 = 0").withColumn("s_suppkey", F.expr("s_suppkey + 1000000"))
+    return NearDuplicateDetector(threshold=0.85, key="s_suppkey").clusters(df.unionByName(copies))
 
 
 @query(f"""WITH v AS ({SEG_TYPO}), f AS (SELECT seg, min(c_custkey) AS met FROM v GROUP BY seg),

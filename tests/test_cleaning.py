@@ -63,7 +63,8 @@ def test_identifiers_are_not_clipped(spark):
 
 
 def test_semantic_names():
-    assert [semantic_type(n) for n in ("Email_x", "price_id", "id", "user_id", "update_count", "o_key")] == ["email", "currency", "identifier", "identifier", "datetime_hint", None]
+    assert [semantic_type(n) for n in ("Email_x", "price_id", "id", "user_id", "update_count", "o_key")] == ["email", "currency", "identifier", "identifier", None, None]
+    assert [semantic_type(n) for n in ("o_orderdate", "signupDate", "created_at", "salePrice", "paid", "candidate", "format")] == ["datetime_hint"] * 3 + ["currency", None, None, None]
     assert target_type("UInt8").simpleString() == "smallint" and target_type("INTERVAL") is None and target_type("Datetime").simpleString() == "timestamp_ntz"
 
 
