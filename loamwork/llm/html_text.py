@@ -15,8 +15,9 @@ broadcast. Extraction is one pass over the pages without a shuffle.
 
 Defined results: null and empty html gives an empty text; unclosed and stray tags
 are tolerated; text outside any tag is a block; a page without main text gives an
-empty text; pages of any length are read whole; repeated rows give repeated rows;
-an empty table gives none.
+empty text; a ``<`` that no tag follows is text; pages of any length are read whole, in
+time that grows with their length; repeated rows give repeated rows; an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -41,44 +43,138 @@ COUNTS = 8
 HIDDEN = 24
 KEEP_AT = 0.5
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mfrac mi mn mo mover mroot mrow msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content that is never shown as text, dropped whole.
-HIDDEN_TAGS = frozenset("script style noscript template textarea select svg math iframe object head title option canvas audio video".split())
-RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe")
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
-ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+HIDDEN_TAGS = frozenset("script style noscript template textarea select svg iframe head title option canvas audio video".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
+#: A tag without a ``<`` in it, as most are; no two matches from different ``<`` overlap.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^<\"]*+\"|'[^<']*+')*+)>")
+NAME_START = re.compile(r"/?[a-zA-Z]")
+NAME_END = re.compile(r"[\s/>]")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?|"[^"]*"|'[^']*'""")
+NAMING = frozenset("class id role itemprop".split())
+NOT_SHOWN = re.compile(r"display\s*+:\s*+none", re.I)
+LONG_NUMBER = re.compile(r"&#([0-9]{1000,});?")
 #: An open element that the tag in the key ends.
 CLOSES = {t: frozenset(c.split()) for t, c in {"p": "p", "li": "li p", "dt": "dt dd p", "dd": "dt dd p", "tr": "tr td th p", "td": "td th p", "th": "td th p"}.items()} | {
     t: frozenset(["p"])
     for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split()
 }
-SCOPES = frozenset("table ul ol dl div section article body td th".split())
+
+
+class Path:
+    """A place in a page's tree: the elements open there, each by its tag and naming words, as a chain that shares its beginnings."""
+
+    __slots__ = ("depth", "key", "parent", "sum")
+
+    def __init__(self, parent: Path | None = None, key: tuple[str, ...] = ()):
+        self.parent, self.key, self.depth = parent, key, parent.depth + 1 if parent else 0
+        self.sum = parent.sum + _key_vector(key) if parent else np.zeros(PATH_WIDTH, dtype=np.float32)
 
 
 class Block:
     __slots__ = ("links", "path", "text")
 
-    def __init__(self, path, text, links):
+    def __init__(self, path: Path, text: str, links: int):
         self.path, self.text, self.links = path, text, links
 
 
+class Scanner:
+    """The tags of a page from left to right, in time that grows with its length.
+
+    A ``<`` that no ``>`` outside quotes ends is text. What a failed look ahead has
+    learned is kept: where a name ends, the next stop, and the quotes after which no
+    ``>`` comes, so that no stretch is read again for each ``<`` before it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.last_data = page, page.rfind(">"), page.rfind("]]>")
+        self.known = {NAME_END: (0, -1), STOP: (0, -1)}
+        self.dead: set[int] = set()
+
+    def next(self, pattern: re.Pattern, at: int) -> int:
+        """Where the pattern is found from ``at`` on; the page's length if nowhere."""
+        low, high = self.known[pattern]
+        if not low <= at <= high:
+            found = pattern.search(self.page, at)
+            low, high = at, found.start() if found else len(self.page)
+            self.known[pattern] = (low, high)
+        return high
+
+    def tag_end(self, at: int) -> int:
+        """Where the ``>`` stands that ends a tag whose attributes start at ``at``; -1 if none does."""
+        page, seen = self.page, []
+        while True:
+            stop = self.next(STOP, at)
+            if stop < len(page) and page[stop] == ">":
+                return stop
+            seen.append(stop)
+            close = -1 if stop >= len(page) or stop in self.dead else page.find(page[stop], stop + 1)
+            if close < 0:
+                self.dead.update(seen)
+                return -1
+            at = close + 1
+
+    def tags(self) -> Iterator[tuple[int, int, str | None, str, str]]:
+        """Start, end, slash, name and attributes of each; the slash is None for comments, declarations and the like."""
+        page, at, size = self.page, 0, len(self.page)
+        while (at := page.find("<", at)) >= 0:
+            found = PLAIN_TAG.match(page, at)
+            if found:
+                end = yield at, found.end(), *found.groups()
+            elif page.startswith("<!--", at):
+                close = page.find("-->", at + 4)
+                end = yield at, close + 3 if close >= 0 else size, None, "", ""
+            elif at > self.last:
+                # Only a comment can follow without a ">".
+                at = page.find("<!--", at)
+                if at < 0:
+                    return
+                continue
+            elif page.startswith(("<!", "<?"), at):
+                data = at < self.last_data and page.startswith("<![CDATA[", at)
+                end = yield at, page.index("]]>", at) + 3 if data else page.index(">", at) + 1, None, "", ""
+            elif (start := NAME_START.match(page, at + 1)) and (close := self.tag_end(name := self.next(NAME_END, start.end()))) >= 0:
+                slash = page[at + 1] == "/"
+                end = yield at, close + 1, "/" if slash else "", page[at + 1 + slash : name], page[name:close]
+            else:
+                end = at + 1
+            at = end
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the end tag stands of an element whose content is no markup."""
+        found = RAW_END[tag].search(self.page, at)
+        return found.start() if found else len(self.page)
+
+
+def decoded(text: str) -> str:
+    """``text`` with its character references decoded; numbers of any length."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0") + ";", text)
+    return html.unescape(text)
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The blocks of a page: path (a tuple of element keys), text, characters inside links."""
+    """The blocks of a page: path, text, characters inside links. Time grows with the page's length, however broken its markup."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Open elements: tag, path, whether the element hides its content, and the place of the innermost element up to here that is not inline.
+    stack: list[tuple[str, Path, bool, int]] = []
+    open_tags: Counter = Counter()
     parts: list[str] = []
-    path: tuple = ()
+    root = path = Path()
     hidden = links = in_link = 0
 
     def flush():
         nonlocal links
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join(decoded("".join(parts)).split())
             if text:
                 out.append(Block(path, text, links))
             parts.clear()
@@ -86,66 +182,69 @@ def blocks(page: str | None) -> list[Block]:
 
     def pop():
         nonlocal hidden, in_link, path
-        tag, key = stack.pop()
-        hidden -= key is None
+        tag, _, gone, _ = stack.pop()
+        hidden -= gone
         in_link -= tag == "a"
-        path = tuple(k for _, k in stack if k)
+        open_tags[tag] -= 1
+        path = stack[-1][1] if stack else root
 
-    at = 0
-    size = len(page)
-    while at < size:
-        found = TOKEN.search(page, at)
-        upto = found.start() if found else size
+    def say(upto: int):
+        nonlocal links
         if upto > at and not hidden:
             piece = page[at:upto]
             parts.append(piece)
             if in_link:
                 links += len(piece.strip())
-        if not found:
-            break
-        at = found.end()
-        closing, tag, rest = found.groups()
-        if tag is None:
-            continue
+
+    scanner, at = Scanner(page), 0
+    tags = scanner.tags()
+    found = next(tags, None)
+    while found:
+        start, end, slash, tag, rest = found
+        say(start)
+        at = end
         tag = tag.lower()
-        if tag == "br":
+        if slash is None:
+            pass
+        elif tag == "br":
             if not hidden:
                 parts.append(" ")
-            continue
-        if tag not in INLINE:
-            flush()
-        if closing:
-            if any(t == tag for t, _ in stack):
-                while stack[-1][0] != tag:
+        else:
+            if tag not in INLINE:
+                flush()
+            if slash:
+                if open_tags[tag]:
+                    while stack[-1][0] != tag:
+                        pop()
                     pop()
-                pop()
-            continue
-        ends = CLOSES.get(tag)
-        if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
+            else:
+                ends = CLOSES.get(tag)
+                while ends and stack and (i := stack[-1][3]) >= 0 and stack[i][0] in ends:
                     while len(stack) > i:
                         pop()
-                elif stack[i][0] in SCOPES or stack[i][0] not in INLINE:
-                    break
-        if tag in VOID or rest.endswith("/"):
-            continue
-        key: tuple[str, ...] | None = (tag,)
-        gone = tag in HIDDEN_TAGS
-        if rest:
-            for name, *values in ATTRIBUTE.findall(rest):
-                value, name = "".join(values).lower(), name.lower()
-                if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                    gone = True
-                elif name in ("class", "id", "role", "itemprop"):
-                    key += tuple(w for w in re.split(r"[^a-z]+", value) if w)
-        stack.append((tag, None if gone else key))
-        hidden += gone
-        in_link += tag == "a"
-        path = tuple(k for _, k in stack if k)
-        if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.start() if end else size
+                if tag not in VOID and not rest.endswith("/"):
+                    key, gone = (tag,), tag in HIDDEN_TAGS
+                    if rest:
+                        for name, *values in ATTRIBUTE.findall(rest):
+                            value, name = "".join(values).lower(), name.lower()
+                            if name in NAMING:
+                                key += tuple(w for w in re.split(r"[^a-z]+", value) if w)
+                            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and NOT_SHOWN.search(value)):
+                                gone = True
+                    if not gone:
+                        path = Path(path, key)
+                    base = len(stack) if tag not in INLINE else stack[-1][3] if stack else -1
+                    stack.append((tag, path, gone, base))
+                    open_tags[tag] += 1
+                    hidden += gone
+                    in_link += tag == "a"
+                    if tag in RAW_END:
+                        at = end = scanner.raw_end(tag, at)
+        try:
+            found = tags.send(end)
+        except StopIteration:
+            break
+    say(len(page))
     flush()
     return out
 
@@ -156,37 +255,45 @@ def _slot(word: str, width: int) -> tuple[int, float]:
     return h % width, 1.0 if h >> 31 else -1.0
 
 
+def _word_slot(word: str) -> tuple[int, float]:
+    return (_slot if len(word) < 40 else _slot.__wrapped__)(word, WORD_WIDTH)  # long words are not worth a place in the cache
+
+
 @lru_cache(maxsize=50_000)
-def _path_vector(path: tuple) -> np.ndarray:
+def _key_vector(key: tuple[str, ...]) -> np.ndarray:
     v = np.zeros(PATH_WIDTH, dtype=np.float32)
-    for depth, key in enumerate(path):
-        for i, word in enumerate(key):
-            for name in ((word,) if i else (word, f"tag:{word}")):
-                j, sign = _slot(name if i else f"<{name}", PATH_WIDTH)
-                v[j] += sign
-    if path:
-        for word in path[-1]:
-            j, sign = _slot(f"last:{word}", PATH_WIDTH)
+    for i, word in enumerate(key):
+        for name in ((word,) if i else (f"<{word}", f"<tag:{word}")):
+            j, sign = _slot(name, PATH_WIDTH)
             v[j] += sign
     return v
 
 
+@lru_cache(maxsize=50_000)
+def _last_vector(key: tuple[str, ...]) -> np.ndarray:
+    v = np.zeros(PATH_WIDTH, dtype=np.float32)
+    for word in key:
+        j, sign = _slot(f"last:{word}", PATH_WIDTH)
+        v[j] += sign
+    return v
+
+
 def features(page: list[Block]) -> np.ndarray:
     """(blocks, width) float32."""
     out = np.zeros((len(page), PATH_WIDTH + WORD_WIDTH + COUNTS), dtype=np.float32)
     whole = max(1, sum(len(b.text) for b in page))
     before = 0
     for row, b in zip(out, page, strict=True):
-        row[:PATH_WIDTH] = _path_vector(b.path)
+        row[:PATH_WIDTH] = b.path.sum + _last_vector(b.path.key)
         words = b.text.lower().split()
         scale = 1 / (1 + len(words)) ** 0.5
         for w in words:
-            j, sign = _slot(w.strip(".,:;!?()[]\"'"), WORD_WIDTH) if len(w) < 40 else (0, 0.0)
+            j, sign = _word_slot(w.strip(".,:;!?()[]\"'"))
             row[PATH_WIDTH + j] += sign * scale
         n = len(b.text)
         row[PATH_WIDTH + WORD_WIDTH :] = (
             np.log1p(n) / 4 - 1, np.log1p(len(words)) / 3 - 1, min(1.0, b.links / n), sum(map(b.text.count, ".!?")) / (1 + len(words)),
-            sum(map(str.isdigit, b.text)) / n if n < 400 else 0.0, len(b.path) / 8, before / whole, n / whole,
+            sum(map(b.text.count, "0123456789")) / n, b.path.depth / 8, before / whole, n / whole,
         )
         before += n
     return out

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -182,6 +183,67 @@ def test_blocks_of_odd_markup():
     assert html_text.blocks("<" * 5000)
 
 
+#: What a tag, comment or declaration is, as one pattern; tried at every "<", which takes quadratic time on broken pages.
+A_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+)
+ODD = ["<", "</", "p", "<p>", "</p>", "<b>", ">", '"', "'", " x ", " class='a b'", ' id="c<d>"', "<!--", "-->", "<br>", "<div ", "&amp;", "=", "/"]
+ODD += ["<![CDATA[", "]]>", "<a href=x>", "</a>", "<!", "<?", " title='hidden x'"]
+
+
+def test_scanner_finds_what_the_pattern_finds():
+    rng = random.Random(3)
+    for _ in range(4000):
+        page = "".join(rng.choice(ODD) for _ in range(rng.randint(1, 16)))
+        scanned, tags = [], html_text.Scanner(page).tags()
+        tag = next(tags, None)
+        while tag:
+            scanned.append(tag)
+            try:
+                tag = tags.send(tag[1])
+            except StopIteration:
+                break
+        assert scanned == [(m.start(), m.end(), m[1], m[2] or "", m[3] or "") for m in A_TAG.finditer(page)], page
+
+
+BROKEN = {
+    "open quotes": lambda k: "<p '" * k,
+    "mixed quotes": lambda k: "<p \"<p '" * k + ">",
+    "open elements": lambda k: "<div>x" * k,
+    "open inline elements": lambda k: "<b>" * k + "<li>x" * k,
+    "names": lambda k: "<a" * k + ' ">',
+    "open data": lambda k: "<![CDATA[>" * k,
+    "declarations": lambda k: ">" + "<!x" * k,
+    "raw ends": lambda k: "<p></title " * k,
+    "attributes": lambda k: "<p " + "class " * k + ">x",
+    "references": lambda k: "&#" + "1" * k + ";&#" + "0" * k + "65;",
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_long_broken_pages_take_linear_time(kind):
+    began = time.process_time()
+    html_text.blocks(BROKEN[kind](100_000))
+    assert time.process_time() - began < 20  # the square of 100,000 steps takes hours
+
+
+def test_extraction_reads_long_words_digits_and_formulas(spark, labeller):
+    assert html_text.blocks("<p>&#" + "0" * 6000 + "65;b&#" + "9" * 6000 + ";")[0].text == "Ab\ufffd"
+    assert [k.text for k in html_text.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds<p title='a hidden gem' data-hidden=no>y")] == ["so x=1 holds", "y"]
+    short, long = html_text.blocks("<p>" + "a" * 39 + " 12</p><p>" + "b" * 500 + " 12")
+    x = html_text.features([short, long])
+    assert (np.abs(x[:, html_text.PATH_WIDTH : -html_text.COUNTS]).sum(1) > 0).all() and (x[:, -4] > 0).all()
+
+
+def test_extraction_of_repeated_and_long_pages(spark, labeller):
+    page = "<nav><a href=/>Home</a></nav><article>" + "<p>Some long text. It goes on here, and on.</p>" * 3 + "</article>"
+    long = "<nav><a href=/>Home</a></nav><article>" + "<p>Some long text. It goes on here, and on.</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, page, "x", 0), (1, page, "x", 0), (2, long, "y", 0)], "page_id long, html string, text string, n_chars int")
+    rows = html_text.extract_text(df, labeller).collect()
+    assert [r["page_id"] for r in rows] == [1, 1, 2] and rows[0] == rows[1] and rows[0]["text"].count("\n") == 2
+    assert rows[2]["text"].count("\n") == 19_999
+
+
 def test_extraction_edges(spark, labeller):
     df = spark.createDataFrame([(1, None, "t"), (2, "", "u"), (None, "<article><p>Some long text. It goes on here, and on.</p></article>", None)], "page_id long, html string, text string")
     rows = {r["page_id"]: r for r in html_text.extract_text(df, labeller).collect()}
