@@ -50,8 +50,7 @@ WIDTH = 1 << 17
 MIN_SHARE = 0.003
 STEM = 5
 SEPARATORS = r"[\x20\x09-\x0D.,;:?!]+"
-SYMBOLS = r"[#*$%&|<>]+"
-RUNS = r"[#*$%&|<>.,;:?!]+"
+WORDS_AND_RUNS = r"[^\x20\x09-\x0D.,;:?!#*$%&|<>]+|[#*$%&|<>.,;:?!]+"
 STEPS = 32
 STEPS_A_TABLE = 8
 PULL = 0.001
@@ -65,17 +64,16 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic > 0, 2).when(quality > 0, 0).otherwise(1).cast("double")
 
 
-def tokens(text: Column) -> Column:
-    """The folded words of a text: runs of characters other than white space and sentence punctuation."""
-    return F.array_remove(F.split(F.lower(text_or_empty(text)), SEPARATORS), "")
+def n_tokens(text: Column) -> Column:
+    """The number of runs of characters other than white space and sentence punctuation."""
+    parts = F.split(text_or_empty(text), SEPARATORS)
+    empty_ends = [(F.element_at(parts, end) == "").cast("int") for end in (1, -1)]
+    return F.greatest(F.lit(0), F.size(parts) - empty_ends[0] - empty_ends[1]).cast("long")
 
 
-def features(distinct: Column, text: Column) -> Column:
-    """Distinct words with their runs of symbols split off, and the distinct runs of symbols and punctuation of the text."""
-    plain = F.filter(distinct, lambda w: ~w.rlike(SYMBOLS))
-    parts = F.flatten(F.transform(F.filter(distinct, lambda w: w.rlike(SYMBOLS)), lambda w: F.split(w, SYMBOLS)))
-    runs = F.regexp_extract_all(text_or_empty(text), F.lit(RUNS), F.lit(0))
-    return F.array_distinct(F.concat(plain, F.array_remove(parts, ""), runs))
+def features(text: Column) -> Column:
+    """Distinct folded words, cut at runs of symbols too, and the distinct runs of symbols and punctuation of the text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(WORDS_AND_RUNS), F.lit(0)))
 
 
 def names_of(distinct: Column) -> Column:
@@ -89,27 +87,25 @@ def place(name: Column) -> Column:
     return F.pmod(name, F.lit(WIDTH)).cast("int")
 
 
-def _sum_at(weights: Column, at: Column, start: float) -> Column:
-    return F.aggregate(at, F.lit(start), lambda acc, i: acc + weights[i])
-
-
 def _softmax(names: Column, model: dict, counted: DataFrame) -> DataFrame:
     """``counted`` with array ``posterior``; a domain's score against the first domain is the sum of the weights of the features that have any.
 
-    The arrays of names and weights have ``WIDTH`` elements whatever the input; they are the row of a table and reach tasks as a scalar subquery.
+    The arrays of names and weights have ``WIDTH`` elements whatever the input; they are the row of a table and reach tasks as scalar subqueries.
+    Each is used in one place, so that the optimizer puts the subquery there and no row carries a copy of the arrays.
     """
     others = sorted(model["scores"])
     columns = [model["names"], *(model["scores"][k][1] for k in others)]
     fields = ["names", *(f"w{k}" for k in others)]
     schema = "names array<long>, " + ", ".join(f"{f} array<double>" for f in fields[1:])
     table = materialize(counted.sparkSession.createDataFrame([tuple(columns)], schema), "weights")
-    known = counted.withColumn("__known", table.select(F.struct(*fields)).scalar())
-    hits = F.transform(F.filter(names, lambda x: F.col("__known.names")[place(x)] == x), place)
-    known = known.withColumn("__hits", hits)
+    known = counted.withColumns({f"__at_{f}": table.select(f).scalar() for f in fields})
+    hits = F.transform(F.filter(names, lambda x: F.col("__at_names")[place(x)] == x), place)
+    starts = F.struct(*[F.lit(model["scores"][k][0]).alias(f"s{k}") for k in others])
+    sums = F.aggregate(hits, starts, lambda acc, i: F.struct(*[(acc[f"s{k}"] + F.col(f"__at_w{k}")[i]).alias(f"s{k}") for k in others]))
+    known = known.select(*counted.columns, sums.alias("__sums"))
     exps = {model["first"]: F.lit(1.0)}
     for k in others:
-        total = _sum_at(F.col(f"__known.w{k}"), F.col("__hits"), model["scores"][k][0])
-        exps[k] = F.exp(F.greatest(F.lit(-300.0), F.least(F.lit(300.0), total)))
+        exps[k] = F.exp(F.greatest(F.lit(-300.0), F.least(F.lit(300.0), F.col(f"__sums.s{k}"))))
     known = known.select(*counted.columns, *[v.alias(f"__e{k}") for k, v in exps.items()])
     whole = sum((F.col(f"__e{k}") for k in others), F.col(f"__e{model['first']}"))
     posterior = F.array(*[F.col(f"__e{d}") / whole if d in exps else F.lit(0.0) for d in range(len(DOMAINS))])
@@ -128,8 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
         .groupBy("__id", "label")
         .agg(F.min("__text").alias("__text"))
     )
-    words = features(F.array_distinct(tokens(F.col("__text"))), F.col("__text"))
-    table = labelled.withColumn("__words", words).select("label", names_of(F.col("__words")).alias("__names"))
+    table = labelled.withColumn("__words", features(F.col("__text"))).select("label", names_of(F.col("__words")).alias("__names"))
     table = materialize(table, "labelled")
     counts = {int(r["label"]): r["n"] for r in table.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most three rows
     n, present = sum(counts.values()), sorted(counts)
@@ -160,9 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
 def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the text, with array ``posterior`` by domain and ``n_tokens`` (words)."""
     model = train(docs, labels, sample, text_col, id_col)
-    counted = docs.withColumn("__tokens", tokens(F.col(text_col)))
-    words = features(F.array_distinct("__tokens"), F.col(text_col))
-    counted = counted.withColumns({"n_tokens": F.size("__tokens").cast("long"), "__words": words}).drop("__tokens", text_col)
+    counted = docs.withColumns({"n_tokens": n_tokens(F.col(text_col)), "__words": features(F.col(text_col))}).drop(text_col)
     if model["first"] is None:
         return counted.drop("__words").withColumn("posterior", F.array(*map(F.lit, model["shares"])))
     counted = counted.withColumn("__names", names_of(F.col("__words"))).drop("__words")
