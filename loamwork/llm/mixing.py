@@ -49,8 +49,9 @@ WIDTH = 1 << 17
 #: Features of fewer of the labelled documents than this share are left out.
 MIN_SHARE = 0.003
 STEM = 5
-SEPARATORS = r"[\x20\x09-\x0D.,;:?!]+"
-WORDS_AND_RUNS = r"[^\x20\x09-\x0D.,;:?!#*$%&|<>]+|[#*$%&|<>.,;:?!]+"
+#: White space is listed sign by sign: a class without ranges is one table look-up in the regular expression engine.
+SEPARATORS = r"[\x20\t\n\x0B\f\r.,;:?!]+"
+WORDS_AND_RUNS = r"[^\x20\t\n\x0B\f\r.,;:?!#*$%&|<>]+|[#*$%&|<>.,;:?!]+"
 STEPS = 32
 STEPS_A_TABLE = 8
 PULL = 0.001
@@ -83,8 +84,8 @@ def names_of(distinct: Column) -> Column:
 
 
 def place(name: Column) -> Column:
-    """Where a feature's name and weights stand, if it has any."""
-    return F.pmod(name, F.lit(WIDTH)).cast("int")
+    """Where a feature's name and weights stand, if it has any: the name's last bits, as ``WIDTH`` is a power of two."""
+    return name.bitwiseAND(F.lit(WIDTH - 1)).cast("int")
 
 
 def _softmax(names: Column, model: dict, counted: DataFrame) -> DataFrame:
@@ -99,9 +100,9 @@ def _softmax(names: Column, model: dict, counted: DataFrame) -> DataFrame:
     schema = "names array<long>, " + ", ".join(f"{f} array<double>" for f in fields[1:])
     table = materialize(counted.sparkSession.createDataFrame([tuple(columns)], schema), "weights")
     known = counted.withColumns({f"__at_{f}": table.select(f).scalar() for f in fields})
-    hits = F.transform(F.filter(names, lambda x: F.col("__at_names")[place(x)] == x), place)
+    hits = F.transform(F.filter(names, lambda x: F.get(F.col("__at_names"), place(x)) == x), place)
     starts = F.struct(*[F.lit(model["scores"][k][0]).alias(f"s{k}") for k in others])
-    sums = F.aggregate(hits, starts, lambda acc, i: F.struct(*[(acc[f"s{k}"] + F.col(f"__at_w{k}")[i]).alias(f"s{k}") for k in others]))
+    sums = F.aggregate(hits, starts, lambda acc, i: F.struct(*[(acc[f"s{k}"] + F.get(F.col(f"__at_w{k}"), i)).alias(f"s{k}") for k in others]))
     known = known.select(*counted.columns, sums.alias("__sums"))
     exps = {model["first"]: F.lit(1.0)}
     for k in others:
@@ -142,13 +143,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
     ).fit(materialize(counter.transform(strings).select("label", "__features"), "vectors"))
     matrix, intercepts, first = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray(), present[0]
     model |= {"first": first, "names": [0] * WIDTH}
-    for at, name in vocabulary:
-        model["names"][at] = name
     for k in present[1:]:
         weights = [0.0] * WIDTH
         for (at, _), weight in zip(vocabulary, (matrix[k] - matrix[first]).tolist(), strict=True):
             weights[at] = weight
         model["scores"][k] = (float(intercepts[k] - intercepts[first]), weights)
+    for at, name in vocabulary:
+        # A feature without weight, as most are in a sparse regression, adds nothing and need not be found.
+        if any(weights[at] for _, weights in model["scores"].values()):
+            model["names"][at] = name
     return model
 
 
