@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _counter = itertools.count()
+#: The driver's heap is collected when it has grown to this share of its limit, at most every so many seconds.
+HEAP_SHARE = 0.5
+HEAP_EVERY = 3.0
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -54,6 +58,20 @@ class Scratch:
         self.paths = []
 
 
+def give_back(spark: SparkSession, share: float = HEAP_SHARE) -> bool:
+    """Whether the driver's heap had grown to ``share`` of its limit and was collected, which returns what plans and jobs left behind.
+
+    Left to itself the heap of many small jobs grows to its limit with little alive in it, and its pages stay with the driver.
+    """
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    last = spark.__dict__.get("_loamwork_collected", -HEAP_EVERY)
+    if heap.totalMemory() < share * heap.maxMemory() or time.monotonic() - last < HEAP_EVERY:
+        return False
+    heap.gc()
+    spark._loamwork_collected = time.monotonic()
+    return True
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
@@ -66,6 +84,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     scopes = spark.__dict__.get("_loamwork_scopes") or [spark.__dict__.setdefault("_loamwork_rest", Scratch(spark))]
     scopes[-1].paths.append(path)
     df.write.parquet(path)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

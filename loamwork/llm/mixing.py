@@ -138,9 +138,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
         return model
     counter = CountVectorizerModel.from_vocabulary([str(x) for _, x in vocabulary], inputCol="__names", outputCol="__features").setBinary(True)
     strings = table.withColumn("__names", F.transform("__names", lambda x: x.cast("string")))
+    # At most ``sample`` rows: read as one partition, an evaluation is one task, not three stages that shuffle gradients and fill the driver's heap.
+    vectors = materialize(counter.transform(strings).select("label", "__features"), "vectors").coalesce(1)
     fitted = LogisticRegression(
         featuresCol="__features", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=80,
-    ).fit(materialize(counter.transform(strings).select("label", "__features"), "vectors"))
+    ).fit(vectors)
     matrix, intercepts, first = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray(), present[0]
     model |= {"first": first, "names": [0] * WIDTH}
     for k in present[1:]:
