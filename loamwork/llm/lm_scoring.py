@@ -146,9 +146,9 @@ _SEEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 
 def hidden(w: dict, ids: np.ndarray, classes: np.ndarray):
     """Hidden states (windows, positions, WIDTH) after masked attention, and what backward() needs."""
-    c, b = classes[ids], ids % BUCKETS
-    x = w["ec"][c]
-    x += w["eb"][b]
+    c, b = classes.take(ids), ids % BUCKETS
+    x = w["ec"].take(c, axis=0)
+    x += w["eb"].take(b, axis=0)
     x += w["ep"]
     n = len(ids)
     flat = x.reshape(-1, WIDTH)
@@ -171,11 +171,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def by_group(classes: np.ndarray) -> list[np.ndarray]:
-    """The rows of each group's classes."""
-    group = classes // MEMBERS
+def by_group(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+    """The rows whose class is a member of a group, in order of their groups; the other rows; where each group's stand among the first."""
+    group = (classes // MEMBERS).astype(np.int8)
     order = np.argsort(group, kind="stable")
-    return np.split(order, np.searchsorted(group[order], np.arange(1, GROUPS + 1)))[:GROUPS]
+    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+    return order[: cuts[-1]], order[cuts[-1] :], [slice(*x) for x in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def outputs(w: dict, h: np.ndarray, target: np.ndarray):
@@ -184,29 +185,36 @@ def outputs(w: dict, h: np.ndarray, target: np.ndarray):
     groups = _softmax(h @ w["group"] + w["group_bias"])
     log = np.log(groups[rows, target // MEMBERS])
     begin = np.log(_sums(groups[:, :START_GROUPS])[:, 0] + groups[:, GROUPS])
-    parts = []
-    for g, at in enumerate(by_group(target)):
-        members = _softmax(h[at] @ w["member"][g] + w["member_bias"][g])
-        log[at] += np.log(members[np.arange(len(at)), target[at] % MEMBERS])
-        parts.append((at, members))
-    return log, begin, (groups, parts)
+    # Rows stand together by group, so that all but the products runs over all of them at once.
+    order, rest, cuts = by_group(target)
+    own, target = h.take(order, axis=0), target.take(order)
+    members = w["member_bias"].take(target // MEMBERS, axis=0)
+    for g, cut in enumerate(cuts):
+        members[cut] += own[cut] @ w["member"][g]
+    members = _softmax(members)
+    log[order] += np.log(members[rows[: len(order)], target % MEMBERS])
+    return log, begin, (groups, order, rest, cuts, own, members)
 
 
 def backward(w: dict, kept, h: np.ndarray, target: np.ndarray, valid: np.ndarray, out) -> dict[str, np.ndarray]:
     """Gradient of the mean negative log likelihood; ``h`` and ``target`` are those of the valid positions."""
     c, b, x, q, k, v, a, mixed = kept
-    groups, parts = out
+    groups, order, rest, cuts, own, members = out
     share = 1 / max(1, len(h))
     flat = lambda t: t.reshape(-1, t.shape[-1])
     groups[np.arange(len(h)), target // MEMBERS] -= 1
     groups *= share
     g = {"group": h.T @ groups, "group_bias": groups.sum(0), "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
     part = groups @ w["group"].T
-    for i, (at, members) in enumerate(parts):
-        members[np.arange(len(at)), target[at] % MEMBERS] -= 1
-        members *= share
-        g["member"][i], g["member_bias"][i] = h[at].T @ members, members.sum(0)
-        part[at] += members @ w["member"][i].T
+    members[np.arange(len(order)), target.take(order) % MEMBERS] -= 1
+    members *= share
+    back = np.zeros_like(part)
+    for i, cut in enumerate(cuts):
+        g["member"][i], g["member_bias"][i] = own[cut].T @ members[cut], members[cut].sum(0)
+        np.matmul(members[cut], w["member"][i].T, out=back[cut])
+    place = np.empty(len(part), dtype=np.intp)
+    place[rest], place[order] = np.arange(len(order), len(part)), np.arange(len(order))
+    part += back.take(place, axis=0)
     dh = np.zeros_like(x)
     dh[valid] = part
     g["o"] = flat(mixed).T @ flat(dh)
@@ -221,10 +229,9 @@ def backward(w: dict, kept, h: np.ndarray, target: np.ndarray, valid: np.ndarray
         g[n] = flat(x).T @ flat(d) * scale
         dx += (flat(d) @ (w[n].T * scale)).reshape(x.shape)
     g["ep"] = dx.sum(0)
-    columns = flat(dx).T.astype(np.float64)
     for n, at, size in (("ec", c, END_CLASS + 1), ("eb", b, BUCKETS)):
-        at = at.ravel()
-        g[n] = np.stack([np.bincount(at, weights=x, minlength=size) for x in columns], 1).astype(w[n].dtype)
+        cells = (at.reshape(-1, 1).astype(np.intp) * WIDTH + np.arange(WIDTH)).ravel()
+        g[n] = np.bincount(cells, weights=dx.ravel(), minlength=size * WIDTH).reshape(size, WIDTH).astype(w[n].dtype)
     return g
 
 
@@ -235,7 +242,8 @@ class Adam:
 
     def step(self, ids, target, valid, classes) -> None:
         h, kept = hidden(self.w, ids, classes)
-        h, target = h[valid], classes[target[valid]]
+        at = np.flatnonzero(valid)
+        h, target = h.reshape(-1, WIDTH).take(at, axis=0), classes.take(target.take(at))
         g = backward(self.w, kept, h, target, valid, outputs(self.w, h, target)[2])
         self.t += 1
         for n in self.w:
@@ -442,9 +450,10 @@ def subword_scores(model: dict, ids: np.ndarray, lengths: np.ndarray, end: int)
     logs, begins = [], []
     for i in range(0, len(at), BATCH):
         cut = slice(i, i + BATCH)
-        h, _ = hidden(model["weights"], stream[at[cut]], model["classes"])
-        target = stream[at[cut][valid[cut]] + 1]
-        log, begin, _ = outputs(model["weights"], h[valid[cut]], model["classes"][target])
+        places, scored = at[cut], np.flatnonzero(valid[cut])
+        h, _ = hidden(model["weights"], stream.take(places), model["classes"])
+        target = stream.take(places.take(scored) + 1)
+        log, begin, _ = outputs(model["weights"], h.reshape(-1, WIDTH).take(scored, axis=0), model["classes"].take(target))
         logs.append(log + model["shares"][target])
         begins.append(begin)
     return np.concatenate(logs).astype(np.float64), np.concatenate(begins).astype(np.float64)
