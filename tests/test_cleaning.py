@@ -3,6 +3,7 @@
 import json
 import logging
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from loamwork.operators import (
     OutlierHandler,
     SchemaCaster,
 )
-from loamwork.operators import similar
+from loamwork.operators import knn, similar
 from loamwork.plans.checks import detect_drift, leakage_warnings
 from loamwork.plans.registry import discover_rules
 from loamwork.sources import default_output, read_schema, row_count
@@ -112,6 +113,48 @@ def test_knn(spark):
     assert {r["key"]: r["n"] for r in run(KnnImputer(k=2), whole)[1].collect()} == {1: 1, 2: 4, 3: 2, 4: 2}
 
 
+def _by_all_pairs(known, asked, k):
+    """Mean of the k nearest by plain loops; ties by key."""
+    out = {}
+    for key, *x in asked:
+        best = sorted((sum((a - b) ** 2 for a, b in zip(x, p, strict=True)), o, y) for o, y, *p in known)[:k]
+        out[key] = sum(y for _, _, y in best) / len(best)
+    return out
+
+
+@pytest.mark.parametrize("chunk, block", [(4, 2), (16, 10_000), (100_000, 3)])
+def test_nearest_in_chunks_as_all_pairs(spark, monkeypatch, chunk, block):
+    """Ties at the k-th place, one place held by many rows, rows without the value far from all others, keys beyond 2^53."""
+    monkeypatch.setattr(knn, "CHUNK", chunk)
+    monkeypatch.setattr(knn, "RANGE", 40)
+    draw = random.Random(5)
+    places = [(draw.randint(0, 9), draw.randint(-300, 300) / 4) for _ in range(120)] + [(3, 1.0)] * 30
+    known = [(2**60 + i, float(i % 17), *p) for i, p in enumerate(places)]
+    asked = [(2**60 + 1000 + i, draw.randint(0, 9), draw.randint(-300, 300) / 4) for i in range(40)] + [(2**60 + 2000 + i, 3, 1.0) for i in range(5)] + [(2**60 + 3000, 900, -1e6)]
+    rows = [(o, y, a, b) for o, y, a, b in known] + [(o, None, a, b) for o, a, b in asked]
+    draw.shuffle(rows)
+    got = knn.nearest_means(frame(spark, "key long, y double, a int, b double", *[(o, y, int(a), float(b)) for o, y, a, b in rows]), "y", ["a", "b"], "key", 5, block)
+    assert {r["key"]: pytest.approx(r["value"]) for r in got.collect()} == _by_all_pairs(known, asked, 5)
+    assert got.schema["key"].dataType.simpleString() == "bigint"
+
+
+def test_nearest_compares_few_pairs(spark, monkeypatch):
+    """On a line a row meets its chunk and the next ones, not all chunks."""
+    monkeypatch.setattr(knn, "CHUNK", 50)
+    met = spark.sparkContext.accumulator(0)
+    plain = knn._nearest
+
+    def counted(xs, have, order, k):
+        met.add(len(xs) * len(have))
+        return plain(xs, have, order, k)
+
+    monkeypatch.setattr(knn, "_nearest", counted)
+    df = spark.range(4_000).selectExpr("id as key", "case when id % 10 <> 0 then id * 1.0D end as y", "id as x")
+    got = knn.nearest_means(df, "y", ["x"], "key", 2)
+    assert all(r["value"] == r["key"] + (0.0 if r["key"] else 1.5) for r in got.collect())
+    assert met.value < 400 * 3_600 / 20
+
+
 def test_fuzzy(spark):
     df = frame(spark, "i long, city string", (1, "New York"), (2, "New Yorkk"), (3, "Paris"), (4, "Paris "), (5, None), (6, "Rome"))
     found, out = run(FuzzyUnifier(order_by="i"), df)
