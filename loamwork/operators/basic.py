@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import clean_nan, col, distinct_count, null_counts, quartiles
+from ..functions.stats import clean_nan, col, distinct_count, medians, null_counts, quartiles
 from ..model import Decision, is_countable, is_numeric, is_string, is_temporal, semantic_type, target_type
 from .base import BaseRule
 
@@ -119,10 +119,17 @@ class NullHandler(BaseRule):
         return found
 
     @staticmethod
-    def value(c: Column, strategy: str) -> Column:
-        if strategy == "median":
-            return F.median(c)
-        return F.avg(c) if strategy == "mean" else F.mode(c, True)
+    def values(df: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+        """One row of the fills in order; no task holds all values of a column."""
+        middle = [c for c, s in wanted if s == "median"]
+        out = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.avg(col(c)).alias(f"__fill{i}") for i, (c, s) in enumerate(wanted) if s == "mean"])
+        if middle:
+            out = out.crossJoin(medians(df, middle))
+        for i, (c, s) in enumerate(wanted):
+            if s not in ("median", "mean"):
+                counts = df.filter(col(c).isNotNull()).groupBy(col(c).alias("v")).agg((-F.count(F.lit(1))).alias("n"))
+                out = out.crossJoin(counts.agg(F.min_by("v", F.struct("n", "v")).alias(f"__fill{i}")))
+        return out.select(*[F.col(f"m{middle.index(c)}" if s == "median" else f"__fill{i}").alias(f"__fill{i}") for i, (c, s) in enumerate(wanted)])
 
     def transform(self, df: DataFrame, decisions: list[Decision]) -> DataFrame:
         df = clean_nan(df)
@@ -130,7 +137,7 @@ class NullHandler(BaseRule):
         if not wanted:
             return df
         source = clean_nan(self.source) if self.fill_from == "input" and self.source is not None else df
-        fills = source.agg(*[self.value(col(c), s).alias(f"__fill{i}") for i, (c, s) in enumerate(wanted)])
+        fills = self.values(source, wanted)
         joined = df.crossJoin(F.broadcast(fills))  # one row
         at = {c: i for i, (c, _) in enumerate(wanted)}
         return joined.select(*[F.coalesce(col(c), F.col(f"__fill{at[c]}")).alias(c) if c in at else col(c) for c in df.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import materialize
-from ..functions.stats import clean_nan, col, null_counts
+from ..functions.stats import clean_nan, col, medians, null_counts
 from ..model import Decision, is_integral, is_numeric
 from .base import BaseRule
 
@@ -195,12 +195,12 @@ class KnnImputer(BaseRule):
         if key is None and features:
             unique = df.agg(*[F.count_distinct(col(c)).alias(f"u{i}") for i, c in enumerate(features)]).first()
             key = next((c for i, c in enumerate(features) if unique[f"u{i}"] == rows), None)
-        medians = df.agg(*[F.median(col(c)).alias(f"m{i}") for i, c in enumerate(gaps)]).first()
+        middle = medians(df, gaps).first()
         found = []
         for i, c in enumerate(gaps):
             ratio = counts[c] / rows
             if rows > limit or not features or key is None or counts[c] == rows:
-                value = 0.0 if medians[f"m{i}"] is None else float(medians[f"m{i}"])
+                value = 0.0 if middle[f"m{i}"] is None else float(middle[f"m{i}"])
                 found.append(self.decide(c, "median_fallback", f"{counts[c]} nulls", ratio, strategy="median_fallback", median_value=value))
                 continue
             values = {str(r["key"]): r["value"] for r in nearest_means(df, c, features, key, k).collect()}  # at most max_rows

@@ -52,6 +52,28 @@ def test_nulls_and_outliers(spark):
     assert out.agg(F.max("age")).first()[0] == bound and out.filter("age is null").count() == 1
 
 
+def test_percentiles_without_all_values_in_one_task(spark, monkeypatch):
+    """As Spark's own percentile, without its aggregate, which gathers every distinct value of a column in one task."""
+    draw = random.Random(3)
+    rows = [(draw.choice([-1.0, 1.0]) * 10 ** draw.uniform(-9, 12), draw.randint(-3, 3), None, draw.choice([None, 2.5])) for _ in range(501)]
+    rows += [(math.inf, 2**40, None, None), (-math.inf, None, None, None), (0.0, 1, None, None), (-0.0, 1, None, None)]
+    df = frame(spark, "a double, b long, c double, d double", *rows)
+    expected = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in "abcd"]).first()
+
+    def refuse(*_):
+        raise AssertionError("one task for all values")
+
+    for name in ("percentile", "median", "mode"):
+        monkeypatch.setattr(F, name, refuse)
+    got = stats.quartiles(df, list("abcd"))
+    assert {c: q and list(q) for c, q in got.items()} == {c: expected[c] and [expected[c][0], expected[c][2]] for c in "abcd"}
+    assert list(stats.medians(df, list("abcd")).first()) == [expected[c] and expected[c][1] for c in "abcd"]
+    filled = NullHandler().transform(df, [Decision("NullHandler", c, "median", {"strategy": "median"}) for c in "bd"])
+    assert filled.filter("b is null or d is null").count() == 0 and filled.filter("d = 2.5").count() == len(rows)
+    tied = frame(spark, "s string", ("b",), ("a",), ("b",), ("a",), ("c",), (None,))
+    assert NullHandler().transform(tied, [Decision("NullHandler", "s", "mode", {"strategy": "mode"})]).filter("s = 'a'").count() == 3
+
+
 def test_nan_counts_as_missing(spark):
     df = frame(spark, "x double", (1.0,), (math.nan,), (3.0,))
     assert stats.null_counts(stats.clean_nan(df))["x"] == 1
