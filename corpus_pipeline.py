@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamwork.functions.scratch import heap_watched, trim
 from loamwork.llm import line_dedup as lines
 from loamwork.llm import mixing, near_text, packing, quality_rules
 from loamwork.llm.common import Scratch, materialize, read
@@ -38,7 +39,8 @@ def _stage(function: Callable) -> Callable:
         key = (spark.sparkContext.applicationId, sf_dir)
         if key in _owned:
             _owned.pop(key).delete()
-        with Scratch(spark) as own:
+        trim(spark)
+        with Scratch(spark) as own, heap_watched(spark):
             out = function(spark, docs.select(*COLUMNS), sf_dir)
         _owned[key] = own
         return out

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import tempfile
+import threading
 import time
 import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _counter = itertools.count()
@@ -67,11 +71,47 @@ def give_back(spark: SparkSession, share: float = HEAP_SHARE) -> bool:
     last = spark.__dict__.get("_loamwork_collected", -HEAP_EVERY)
     if heap.totalMemory() < share * heap.maxMemory() or time.monotonic() - last < HEAP_EVERY:
         return False
-    heap.gc()
     spark._loamwork_collected = time.monotonic()
+    heap.gc()
+    trim(spark)
+    return True
+
+
+def trim(spark: SparkSession) -> bool:
+    """Whether the driver's JVM gave freed native memory back, which hundreds of threads otherwise keep in arenas of their own; not every JVM can."""
+    jvm, objects = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        named = jvm.java.lang.Class.forName
+        # By the interface: the server's own class is not open to calls from outside its module.
+        kinds, values = objects(jvm.java.lang.Class, 4), objects(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = named(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        values[2], values[3] = objects(jvm.java.lang.Object, 0), objects(jvm.java.lang.String, 0)
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return False
     return True
 
 
+@contextlib.contextmanager
+def heap_watched(spark: SparkSession) -> Iterator[None]:
+    """While it is open, the driver's heap is collected as by ``materialize``, for jobs in a row that write no tables."""
+    over = threading.Event()
+
+    def watch() -> None:
+        while not over.wait(HEAP_EVERY):
+            give_back(spark)
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 

@@ -40,6 +40,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import heap_watched
 from .common import materialize, read, text_or_empty
 
 DOMAINS = ["clean", "low", "toxic"]
@@ -140,9 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
     strings = table.withColumn("__names", F.transform("__names", lambda x: x.cast("string")))
     # At most ``sample`` rows: read as one partition, an evaluation is one task, not three stages that shuffle gradients and fill the driver's heap.
     vectors = materialize(counter.transform(strings).select("label", "__features"), "vectors").coalesce(1)
-    fitted = LogisticRegression(
-        featuresCol="__features", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=80,
-    ).fit(vectors)
+    with heap_watched(docs.sparkSession):  # an iteration is a job or more, and none writes a table
+        fitted = LogisticRegression(
+            featuresCol="__features", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=80,
+        ).fit(vectors)
     matrix, intercepts, first = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray(), present[0]
     model |= {"first": first, "names": [0] * WIDTH}
     for k in present[1:]:
