@@ -144,23 +144,24 @@ def _sums(x: np.ndarray) -> np.ndarray:
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 
 
-def hidden(w: dict, ids: np.ndarray, classes: np.ndarray):
-    """Hidden states (windows, positions, WIDTH) after masked attention, and what backward() needs."""
+def hidden(w: dict, ids: np.ndarray, classes: np.ndarray, skip: int = 0):
+    """Hidden states (windows, positions, WIDTH) after masked attention, without those of the first ``skip`` positions, and what backward() needs."""
     c, b = classes.take(ids), ids % BUCKETS
     x = w["ec"].take(c, axis=0)
     x += w["eb"].take(b, axis=0)
     x += w["ep"]
     n = len(ids)
     flat = x.reshape(-1, WIDTH)
-    q = (flat @ (w["q"] * WIDTH**-0.5)).reshape(n, WINDOW, WIDTH)
+    own = x[:, skip:]
+    q = (own.reshape(-1, WIDTH) @ (w["q"] * WIDTH**-0.5)).reshape(own.shape)
     k, v = ((flat @ w[m]).reshape(n, WINDOW, WIDTH) for m in "kv")
     s = q @ k.transpose(0, 2, 1)
     np.clip(s, -60, 60, out=s)
     np.exp(s, out=s)
-    s *= _SEEN
+    s *= _SEEN[skip:]
     s /= _sums(s)
     mixed = s @ v
-    h = x + (mixed.reshape(-1, WIDTH) @ w["o"]).reshape(n, WINDOW, WIDTH)
+    h = own + (mixed.reshape(-1, WIDTH) @ w["o"]).reshape(own.shape)
     return h, (c, b, x, q, k, v, s, mixed)
 
 
@@ -229,9 +230,10 @@ def backward(w: dict, kept, h: np.ndarray, target: np.ndarray, valid: np.ndarray
         g[n] = flat(x).T @ flat(d) * scale
         dx += (flat(d) @ (w[n].T * scale)).reshape(x.shape)
     g["ep"] = dx.sum(0)
+    columns = flat(dx).T.astype(np.float64, order="C")
     for n, at, size in (("ec", c, END_CLASS + 1), ("eb", b, BUCKETS)):
-        cells = (at.reshape(-1, 1).astype(np.intp) * WIDTH + np.arange(WIDTH)).ravel()
-        g[n] = np.bincount(cells, weights=dx.ravel(), minlength=size * WIDTH).reshape(size, WIDTH).astype(w[n].dtype)
+        cells = at.ravel().astype(np.intp)
+        g[n] = np.stack([np.bincount(cells, weights=column, minlength=size) for column in columns], axis=1).astype(w[n].dtype)
     return g
 
 
@@ -447,16 +449,19 @@ def subword_scores(model: dict, ids: np.ndarray, lengths: np.ndarray, end: int)
     """For the ids of texts end to end: natural log probability, and that of a word start standing there."""
     at, valid = windows(lengths)
     stream = np.concatenate([[end], ids]).astype(np.int32)
-    logs, begins = [], []
-    for i in range(0, len(at), BATCH):
-        cut = slice(i, i + BATCH)
-        places, scored = at[cut], np.flatnonzero(valid[cut])
-        h, _ = hidden(model["weights"], stream.take(places), model["classes"])
-        target = stream.take(places.take(scored) + 1)
-        log, begin, _ = outputs(model["weights"], h.reshape(-1, WIDTH).take(scored, axis=0), model["classes"].take(target))
-        logs.append(log + model["shares"][target])
-        begins.append(begin)
-    return np.concatenate(logs).astype(np.float64), np.concatenate(begins).astype(np.float64)
+    logs, begins = (np.empty(len(ids), dtype=np.float32) for _ in range(2))
+    # A text's first window scores all its positions; of later ones only the last STRIDE need a state.
+    first = valid[:, 0]
+    for chosen, skip in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), WINDOW - STRIDE)):
+        for i in range(0, len(chosen), BATCH):
+            cut = chosen[i : i + BATCH]
+            places, scored = at[cut], np.flatnonzero(valid[cut, skip:])
+            h, _ = hidden(model["weights"], stream.take(places), model["classes"], skip)
+            places = places[:, skip:].take(scored)
+            target = stream.take(places + 1)
+            log, begin, _ = outputs(model["weights"], h.reshape(-1, WIDTH).take(scored, axis=0), model["classes"].take(target))
+            logs[places], begins[places] = log + model["shares"][target], begin
+    return logs.astype(np.float64), begins.astype(np.float64)
 
 
 def mixed_log10(model: dict, c: np.ndarray, log_sub: np.ndarray) -> np.ndarray:

@@ -25,3 +25,19 @@ def test_outputs_take_all_members_at_once(monkeypatch):
         assert abs(got - want) < 1e-5
     only_ends = np.full(3, lm.END_CLASS, dtype=np.int32)
     assert np.isfinite(lm.outputs(w, h[:3], only_ends)[0]).all()
+
+
+def test_later_windows_make_only_the_states_they_score(monkeypatch):
+    """Of a window after a text's first the last STRIDE positions are made, and they equal those of the whole window."""
+    rng = np.random.default_rng(5)
+    ids, classes = rng.integers(0, 300, (4, lm.WINDOW)), rng.integers(0, lm.END_CLASS + 1, 301).astype(np.int32)
+    skip = lm.WINDOW - lm.STRIDE
+    whole, part = lm.hidden(lm.initial(), ids, classes)[0], lm.hidden(lm.initial(), ids, classes, skip)[0]
+    assert np.allclose(whole[:, skip:], part, atol=1e-5)
+    made, hidden = [], lm.hidden
+    monkeypatch.setattr(lm, "hidden", lambda *a: made.append(hidden(*a)) or made[-1])
+    model = {"weights": lm.initial(), "classes": classes, "shares": np.zeros(301, dtype=np.float32)}
+    lengths = np.array([lm.WINDOW + 3 * lm.STRIDE, 1, lm.WINDOW + 1])
+    logs, begins = lm.subword_scores(model, rng.integers(0, 300, lengths.sum()).astype(np.int32), lengths, 300)
+    assert len(logs) == len(begins) == lengths.sum()
+    assert sum(h.shape[0] * h.shape[1] for h, _ in made) == 3 * lm.WINDOW + 4 * lm.STRIDE
