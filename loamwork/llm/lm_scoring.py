@@ -38,14 +38,14 @@ from __future__ import annotations
 
 import base64
 import functools
-import struct
-from array import array
-from collections import Counter
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,16 +67,48 @@ TRAIN_BATCH, WARM_BATCH = 256, 64
 WARM_DOCS = 400
 RATE = 0.01
 HOT_WORDS = 200_000
-CACHE = 400_000
 RARE = 5
 #: Subwords of the documents that are scored or trained on at a time.
 AT_A_TIME = 200_000
+#: Octets of the texts whose words are encoded, or counted, together, and words in one call of the encoder.
+ENCODED, COUNTED, TOGETHER = 1 << 24, 1 << 26, 50_000
+UNICODE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def words_of_all(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words_of() of many texts, end to end, and the number of each text's."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    texts = pc.if_else(pc.equal(texts, ""), None, texts)
+    words = pc.ascii_split_whitespace(texts)
+    return words.flatten(), pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def pieces(texts: pa.Array, octets: int) -> Iterator[pa.Array]:
+    """Texts of about so many octets at a time, so that memory is bounded."""
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(sizes, octets + (sizes[start - 1] if start else 0), side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def portions(per_text: np.ndarray) -> Iterator[slice]:
+    """Texts of about a third of AT_A_TIME words and ends at a time; the last may have fewer."""
+    start = size = 0
+    for i, n in enumerate(per_text.tolist()):
+        size += n + 1
+        if size >= AT_A_TIME // 3:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(per_text):
+        yield slice(start, len(per_text))
+
+
 class Subwords:
     """Ids of a word, cached; ``end`` is the id after the last of the vocabulary."""
 
@@ -93,6 +125,22 @@ class Subwords:
     def of(self, word: bytes) -> list[int]:
         return self._encode(" " + word.decode())
 
+    def of_all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end and the number of each word's, many words in a call."""
+        parts = [self._of_some(words.slice(i, TOGETHER)) for i in range(0, len(words), TOGETHER)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _of_some(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        text = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        if text.isascii() or not UNICODE_SPACE.search(text):
+            # Only the space before a word can start an id with a space, and it always does.
+            ids = np.array(self._encode(text), dtype=np.int32)
+            heads = np.flatnonzero(self.starts[ids])
+            if len(heads) == len(words):
+                return ids, np.diff(heads, append=len(ids))
+        each = [self._encode(" " + w) for w in words.to_pylist()]
+        return np.array([i for ids in each for i in ids], dtype=np.int32), np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+
 
 @functools.cache
 def subwords(path: str) -> Subwords:
@@ -100,25 +148,6 @@ def subwords(path: str) -> Subwords:
     return Subwords(path)
 
 
-class Ids(dict):
-    """Bytes of the ids of words, cached for the tasks of a Python worker."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.of = subwords(path).of
-
-    def __missing__(self, word: bytes) -> bytes:
-        out = array("i", self.of(word)).tobytes()
-        if len(word) < 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = out
-        return out
-
-
-cached_ids = functools.cache(Ids)
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -144,25 +173,49 @@ def _sums(x: np.ndarray) -> np.ndarray:
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 
 
+def _rows(x: np.ndarray) -> np.ndarray:
+    return x.reshape(-1, x.shape[-1])
+
+
+def _attending(w: dict) -> np.ndarray:
+    """Side by side: the product of the weights of queries, scaled, and of keys, so that states themselves are the keys; that of the weights
+    of values and of the way out; a last column, which becomes the ones that sum the attention."""
+    return np.concatenate([w["q"] @ w["k"].T * WIDTH**-0.5, w["v"] @ w["o"], np.zeros_like(w["v"][:, :1])], axis=1, dtype=w["v"].dtype)
+
+
+def with_table(w: dict, classes: np.ndarray) -> dict:
+    """The weights with all that hidden() makes of an id alone, and of a place alone, for passes that don't change the weights."""
+    ids = w["ec"].take(classes, axis=0)
+    ids += w["eb"].take(np.arange(len(classes)) % BUCKETS, axis=0)
+    made = [np.concatenate([x, x @ _attending(w)], axis=1) for x in (ids, w["ep"])]
+    made[0][:, -1] = 1
+    return w | {"by_id": made[0], "by_place": made[1]}
+
+
 def hidden(w: dict, ids: np.ndarray, classes: np.ndarray, skip: int = 0):
     """Hidden states (windows, positions, WIDTH) after masked attention, without those of the first ``skip`` positions, and what backward() needs."""
-    c, b = classes.take(ids), ids % BUCKETS
-    x = w["ec"].take(c, axis=0)
-    x += w["eb"].take(b, axis=0)
-    x += w["ep"]
     n = len(ids)
-    flat = x.reshape(-1, WIDTH)
-    own = x[:, skip:]
-    q = (own.reshape(-1, WIDTH) @ (w["q"] * WIDTH**-0.5)).reshape(own.shape)
-    k, v = ((flat @ w[m]).reshape(n, WINDOW, WIDTH) for m in "kv")
-    s = q @ k.transpose(0, 2, 1)
+    if "by_id" in w:
+        c = b = None
+        made = w["by_id"].take(ids, axis=0)
+        made += w["by_place"]
+        x, made = made[..., :WIDTH], made[..., WIDTH:]
+    else:
+        c, b = classes.take(ids), ids % BUCKETS
+        x = w["ec"].take(c, axis=0)
+        x += w["eb"].take(b, axis=0)
+        x += w["ep"]
+        made = (_rows(x) @ _attending(w)).reshape(n, WINDOW, -1)
+        made[..., -1] = 1
+    q, v = made[:, skip:, :WIDTH], made[..., WIDTH:]
+    s = q @ x.transpose(0, 2, 1)
     np.clip(s, -60, 60, out=s)
     np.exp(s, out=s)
     s *= _SEEN[skip:]
-    s /= _sums(s)
-    mixed = s @ v
-    h = own + (mixed.reshape(-1, WIDTH) @ w["o"]).reshape(own.shape)
-    return h, (c, b, x, q, k, v, s, mixed)
+    mixed = s @ v  # the last column is the sum of a row of s
+    total = 1 / mixed[..., WIDTH:]
+    mixed = mixed[..., :WIDTH] * total
+    return mixed + x[:, skip:], (c, b, x, q, v, s, mixed, total)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -172,86 +225,110 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def by_group(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[slice]]:
-    """The rows whose class is a member of a group, in order of their groups; the other rows; where each group's stand among the first."""
+def by_group(classes: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """Rows in order of their groups, those of the end, which has no members, last; where each group's stand."""
     group = (classes // MEMBERS).astype(np.int8)
     order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
-    return order[: cuts[-1]], order[cuts[-1] :], [slice(*x) for x in zip(cuts[:-1], cuts[1:], strict=True)]
+    cuts = np.cumsum(np.bincount(group, minlength=GROUPS + 1)).tolist()
+    return order, [slice(*x) for x in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
-def outputs(w: dict, h: np.ndarray, target: np.ndarray):
-    """For hidden states (rows, WIDTH): log probability of the target class and of any word start or end, and what backward() needs."""
-    rows = np.arange(len(h))
-    groups = _softmax(h @ w["group"] + w["group_bias"])
-    log = np.log(groups[rows, target // MEMBERS])
-    begin = np.log(_sums(groups[:, :START_GROUPS])[:, 0] + groups[:, GROUPS])
+def softmaxes(w: dict, h: np.ndarray, target: np.ndarray, at: np.ndarray | None = None):
+    """For the rows ``at`` of ``h`` (all) and their target classes: by_group() and, in that order, states, classes, probabilities of groups and of members."""
     # Rows stand together by group, so that all but the products runs over all of them at once.
-    order, rest, cuts = by_group(target)
-    own, target = h.take(order, axis=0), target.take(order)
-    members = w["member_bias"].take(target // MEMBERS, axis=0)
+    order, cuts = by_group(target)
+    own, target = h.take(order if at is None else at.take(order), axis=0), target.take(order)
+    # Column by column in memory: what is done to all rows then runs over long columns, not over rows of 17 or 16.
+    groups = (w["group"].T @ own.T).T
+    groups += w["group_bias"]
+    members = np.empty((MEMBERS, cuts[-1].start), groups.dtype).T
+    for g, cut in enumerate(cuts[:-1]):
+        np.matmul(w["member"][g].T, own[cut].T, out=members[cut].T)
+        members[cut] += w["member_bias"][g]
+    return order, cuts, own, target, _softmax(groups), _softmax(members)
+
+
+def outputs(w: dict, h: np.ndarray, target: np.ndarray, at: np.ndarray | None = None):
+    """For hidden states (rows, WIDTH), or their rows ``at``: log probability of the target class and of any word start or end, and what backward() needs."""
+    out = order, cuts, _, by, groups, members = softmaxes(w, h, target, at)
+    p, rows = np.empty(len(by), groups.dtype), np.arange(len(members))
     for g, cut in enumerate(cuts):
-        members[cut] += own[cut] @ w["member"][g]
-    members = _softmax(members)
-    log[order] += np.log(members[rows[: len(order)], target % MEMBERS])
-    return log, begin, (groups, order, rest, cuts, own, members)
+        p[cut] = groups[cut, g]
+    p[: len(rows)] *= members.T.ravel().take(by[: len(rows)] % MEMBERS * len(rows) + rows)
+    starts = np.zeros((GROUPS + 1, 1), groups.dtype)
+    starts[:START_GROUPS] = starts[GROUPS] = 1
+    log, begin = np.empty_like(p), np.empty_like(p)
+    log[order], begin[order] = np.log(p), np.log(groups @ starts)[:, 0]
+    return log, begin, out
 
 
 def backward(w: dict, kept, h: np.ndarray, target: np.ndarray, valid: np.ndarray, out) -> dict[str, np.ndarray]:
     """Gradient of the mean negative log likelihood; ``h`` and ``target`` are those of the valid positions."""
-    c, b, x, q, k, v, a, mixed = kept
-    groups, order, rest, cuts, own, members = out
-    share = 1 / max(1, len(h))
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    groups[np.arange(len(h)), target // MEMBERS] -= 1
-    groups *= share
-    g = {"group": h.T @ groups, "group_bias": groups.sum(0), "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
-    part = groups @ w["group"].T
-    members[np.arange(len(order)), target.take(order) % MEMBERS] -= 1
-    members *= share
-    back = np.zeros_like(part)
+    c, b, x, q, v, e, mixed, total = kept
+    order, cuts, own, by, groups, members = out
+    ones = np.ones(max(x.shape[0], len(own)), x.dtype)
+    many, rows, at = len(members), np.arange(len(members)), np.flatnonzero(valid)
     for i, cut in enumerate(cuts):
-        g["member"][i], g["member_bias"][i] = own[cut].T @ members[cut], members[cut].sum(0)
-        np.matmul(members[cut], w["member"][i].T, out=back[cut])
-    place = np.empty(len(part), dtype=np.intp)
-    place[rest], place[order] = np.arange(len(order), len(part)), np.arange(len(order))
-    part += back.take(place, axis=0)
-    dh = np.zeros_like(x)
-    dh[valid] = part
-    g["o"] = flat(mixed).T @ flat(dh)
-    dm = (flat(dh) @ w["o"].T).reshape(x.shape)
-    da = dm @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dm
-    da -= _sums(da * a)
-    da *= a
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-    dx = dh
-    for n, d, scale in (("q", dq, WIDTH**-0.5), ("k", dk, 1.0), ("v", dv, 1.0)):
-        g[n] = flat(x).T @ flat(d) * scale
-        dx += (flat(d) @ (w[n].T * scale)).reshape(x.shape)
-    g["ep"] = dx.sum(0)
-    columns = flat(dx).T.astype(np.float64, order="C")
+        groups[cut, i] -= 1
+    members.T.ravel()[by[:many] % MEMBERS * many + rows] -= 1  # a view: see softmaxes()
+    g = {"group": own.T @ groups, "group_bias": ones[: len(own)] @ groups, "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
+    part = np.empty((len(own) + 1, WIDTH), x.dtype)  # a row more, for positions that are not valid
+    np.matmul(groups, w["group"].T, out=part[:-1])
+    part[-1] = 0
+    for i, cut in enumerate(cuts[:-1]):
+        g["member"][i], g["member_bias"][i] = own[cut].T @ members[cut], ones[: cut.stop - cut.start] @ members[cut]
+        part[cut] += members[cut] @ w["member"][i].T
+    place = np.full(x.shape[0] * x.shape[1], len(own), np.intp)
+    place[at.take(order)] = np.arange(len(own))
+    dx = part.take(place, axis=0).reshape(x.shape)
+    # The attention is e * total: with the gradient of mixed and, for its sum, their product beside it, one product gives that of e.
+    dm = np.empty(v.shape, x.dtype)
+    np.multiply(dx, total, out=dm[..., :WIDTH])
+    np.multiply(_sums(dx * mixed), -total, out=dm[..., WIDTH:])
+    de = dm @ v.transpose(0, 2, 1)
+    de *= e
+    made = np.empty((*x.shape[:2], 2 * WIDTH), x.dtype)
+    np.matmul(de, x, out=made[..., :WIDTH])
+    np.matmul(e.transpose(0, 2, 1), dm[..., :WIDTH], out=made[..., WIDTH:])
+    reach, way = np.split((_rows(made).T @ _rows(x)).T, 2, axis=1)
+    g["q"], g["k"] = reach @ w["k"] * WIDTH**-0.5, reach.T @ w["q"] * WIDTH**-0.5
+    g["v"], g["o"] = way @ w["o"].T, w["v"].T @ way
+    dx += de.transpose(0, 2, 1) @ q
+    dx += (_rows(made) @ _attending(w)[:, :-1].T).reshape(x.shape)
+    g["ep"] = (ones[: len(dx)] @ dx.reshape(len(dx), -1)).reshape(dx.shape[1:])
+    columns = _rows(dx).T.astype(np.float64, order="C")
     for n, at, size in (("ec", c, END_CLASS + 1), ("eb", b, BUCKETS)):
         cells = at.ravel().astype(np.intp)
-        g[n] = np.stack([np.bincount(cells, weights=column, minlength=size) for column in columns], axis=1).astype(w[n].dtype)
-    return g
+        g[n] = np.array([np.bincount(cells, weights=column, minlength=size) for column in columns]).T.astype(w[n].dtype)
+    return {n: d * (1 / max(1, len(own))) for n, d in g.items()}
 
 
 class Adam:
     def __init__(self, w: dict):
-        self.w, self.t = {n: x.copy() for n, x in w.items()}, 0
-        self.m, self.s = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
+        self.flat, self.t = _pack(w), 0
+        self.m, self.s, self.made = (np.zeros_like(self.flat) for _ in range(3))
+        self.w = _unpack(self.flat)
 
     def step(self, ids, target, valid, classes) -> None:
         h, kept = hidden(self.w, ids, classes)
         at = np.flatnonzero(valid)
-        h, target = h.reshape(-1, WIDTH).take(at, axis=0), classes.take(target.take(at))
-        g = backward(self.w, kept, h, target, valid, outputs(self.w, h, target)[2])
+        target = classes.take(target.take(at))
+        g = _pack(backward(self.w, kept, h, target, valid, softmaxes(self.w, _rows(h), target, at)))
         self.t += 1
-        for n in self.w:
-            self.m[n] += 0.1 * (g[n] - self.m[n])
-            self.s[n] += 0.01 * (g[n] ** 2 - self.s[n])
-            self.w[n] -= RATE * (self.m[n] / (1 - 0.9**self.t)) / (np.sqrt(self.s[n] / (1 - 0.99**self.t)) + 1e-6)
+        made = self.made
+        np.subtract(g, self.m, out=made)
+        made *= 0.1
+        self.m += made
+        g *= g
+        g -= self.s
+        g *= 0.01
+        self.s += g
+        np.multiply(self.s, 1 / (1 - 0.99**self.t), out=g)
+        np.sqrt(g, out=g)
+        g += 1e-6
+        np.divide(self.m, g, out=made)
+        made *= RATE / (1 - 0.9**self.t)
+        self.flat -= made
 
 
 def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -271,21 +348,10 @@ def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.n
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def emit():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
-        )
-
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(words_of(text))
-        if len(counts) > 500_000:
-            yield emit()
-            counts.clear()
-    if counts:
-        yield emit()
+        for texts in pieces(batch.column(0), COUNTED):
+            counts = words_of_all(texts)[0].value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.string()), counts.field("counts")], names=["word", "n"])
 
 
 def _count_subwords(path: str):
@@ -293,9 +359,8 @@ def _count_subwords(path: str):
         sub = subwords(path)
         total = np.zeros(sub.end + 1, dtype=np.int64)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i in sub.of(word.encode()):
-                    total[i] += n
+            ids, sizes = sub.of_all(batch.column(0))
+            np.add.at(total, ids, np.repeat(batch.column(1).to_numpy(), sizes))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
@@ -318,61 +383,72 @@ def subword_classes(totals: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     return classes, np.log(weight / mass[classes]).astype(np.float32)
 
 
-class WordIds(dict):
-    """For a word the bytes of its count (a double; -1 where it is not among ``counts``) and of its subword ids, cached."""
+class WordIds:
+    """Subword ids of texts, and the counts of their words (-1 where a word is not among ``counts``); each different word is encoded once."""
 
     def __init__(self, path: str, counts: dict[bytes, int]):
-        super().__init__()
-        self.end, self.ids, self.counts = subwords(path).end, cached_ids(path), counts
-
-    def __missing__(self, word: bytes) -> bytes:
-        out = struct.pack("d", self.counts.get(word, -1)) + self.ids[word]
-        if len(word) < 64:
-            self[word] = out
-        return out
-
-    def texts(self, texts: list[list[bytes]]):
-        """(ids of all texts, each with its end; texts' lengths; words' counts; words' first places; words' texts)."""
-        if len(self) > CACHE:
-            self.clear()
-        found = [self[w] for words in texts for w in words]
-        raw = np.frombuffer(b"".join(found), dtype=np.int32)
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        heads = np.cumsum(sizes) - sizes
-        counts = raw[heads[:, None] + np.arange(2)].view(np.float64).ravel()
-        body = np.ones(len(raw), dtype=bool)
-        body[heads] = body[heads + 1] = False
-        per_text = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        text_of = np.repeat(np.arange(len(texts)), per_text)
-        first = np.cumsum(sizes - 2) - (sizes - 2) + text_of
-        lengths = np.bincount(text_of, weights=sizes - 2, minlength=len(texts)).astype(np.int64) + 1
-        ends = np.cumsum(lengths) - 1
+        self.sub, self.end = subwords(path), subwords(path).end
+        self.counted = pa.array(list(counts), pa.binary()).cast(pa.string())
+        self.counts = np.append(np.fromiter(counts.values(), np.float64, len(counts)), -1.0)
+
+    def meet(self, words: pa.Array, per_text: np.ndarray) -> None:
+        """Takes the words of texts, end to end, and the number of each text's; portion() tells of them."""
+        met = words.dictionary_encode()
+        self.different, self.numbers, self.per_text = met.dictionary, met.indices.to_numpy(), per_text
+        self.flat, self.sizes = self.sub.of_all(self.different)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.known = self.counts.take(pc.index_in(self.different, value_set=self.counted).fill_null(-1).to_numpy())
+        self.until = np.concatenate([[0], np.cumsum(per_text)])
+
+    def portion(self, cut: slice):
+        """For some texts: ids of all, each with its end; texts' lengths; words' counts; words' first places; words' texts; words' numbers among the different."""
+        numbers, per_text = self.numbers[self.until[cut.start] : self.until[cut.stop]], self.per_text[cut]
+        sizes, n = self.sizes.take(numbers), len(per_text)
+        text_of = np.repeat(np.arange(n), per_text)
+        before = np.cumsum(sizes) - sizes
+        lengths = np.bincount(text_of, weights=sizes, minlength=n).astype(np.int64) + 1
         ids = np.full(int(lengths.sum()), self.end, dtype=np.int32)
         inside = np.ones(len(ids), dtype=bool)
-        inside[ends] = False
-        ids[inside] = raw[body]
-        return ids, lengths, counts, first, text_of
+        inside[np.cumsum(lengths) - 1] = False
+        at = np.repeat(self.first.take(numbers) - before, sizes)
+        at += np.arange(len(at))
+        ids[inside] = self.flat.take(at)
+        return ids, lengths, self.known.take(numbers), before + text_of, text_of, numbers
+
+    def texts(self, texts: list[list[bytes]]):
+        """portion() of these texts, without the words' numbers."""
+        self.meet(pa.array(list(itertools.chain.from_iterable(texts)), pa.binary()).cast(pa.string()), np.fromiter(map(len, texts), np.int64, len(texts)))
+        return self.portion(slice(0, len(texts)))[:5]
 
 
 def train_local(weights: dict, texts: Iterator[str | None], path: str, classes: np.ndarray, size_of_batch: int = TRAIN_BATCH) -> tuple[dict, int]:
     """Weights after Adam over all windows of the texts, end to end, and the positions seen."""
     words, model, seen, held, size = WordIds(path, {}), Adam(weights), 0, [], 0
 
-    def learn() -> int:
-        ids, lengths, *_ = words.texts(held)
-        at, valid = windows(lengths, WINDOW)
-        stream = np.concatenate([[words.end], ids]).astype(np.int32)
-        for i in range(0, len(at), size_of_batch):
-            cut = slice(i, i + size_of_batch)
-            model.step(stream[at[cut]], stream[at[cut] + 1], valid[cut], classes)
-        return len(ids)
+    def learn(last: bool) -> list:
+        """Learns the texts held, but for a last portion to which more may come; returns that."""
+        nonlocal seen
+        words.meet(*words_of_all(pa.array(held, pa.string())))
+        for cut in portions(words.per_text):
+            if not last and cut.stop == len(held) and int((words.per_text[cut] + 1).sum()) < AT_A_TIME // 3:
+                return held[cut]
+            ids, lengths, *_ = words.portion(cut)
+            at, valid = windows(lengths, WINDOW)
+            stream = np.concatenate([[words.end], ids]).astype(np.int32)
+            for i in range(0, len(at), size_of_batch):
+                some = slice(i, i + size_of_batch)
+                model.step(stream[at[some]], stream[at[some] + 1], valid[some], classes)
+            seen += len(ids)
+        return []
 
     for text in texts:
-        held.append(words_of(text))
-        size += len(held[-1]) + 1
-        if size >= AT_A_TIME // 3:
-            seen, held, size = seen + learn(), [], 0
-    return model.w, seen + (learn() if held else 0)
+        held.append(text)
+        size += len(text or "") + 1
+        if size >= ENCODED:
+            held, size = learn(False), 0
+    if held:
+        learn(True)
+    return model.w, seen
 
 
 def _pack(w: dict) -> np.ndarray:
@@ -380,9 +456,10 @@ def _pack(w: dict) -> np.ndarray:
 
 
 def _unpack(flat: np.ndarray) -> dict:
+    """The weights as parts of ``flat``."""
     out, at, like = {}, 0, initial()
     for n in sorted(like):
-        out[n] = flat[at : at + like[n].size].reshape(like[n].shape).astype(np.float32)
+        out[n] = flat[at : at + like[n].size].reshape(like[n].shape)
         at += like[n].size
     return out
 
@@ -451,15 +528,15 @@ def subword_scores(model: dict, ids: np.ndarray, lengths: np.ndarray, end: int)
     stream = np.concatenate([[end], ids]).astype(np.int32)
     logs, begins = (np.empty(len(ids), dtype=np.float32) for _ in range(2))
     # A text's first window scores all its positions; of later ones only the last STRIDE need a state.
-    first = valid[:, 0]
+    first, weights = valid[:, 0], model["weights"] if "by_id" in model["weights"] else with_table(model["weights"], model["classes"])
     for chosen, skip in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), WINDOW - STRIDE)):
         for i in range(0, len(chosen), BATCH):
             cut = chosen[i : i + BATCH]
             places, scored = at[cut], np.flatnonzero(valid[cut, skip:])
-            h, _ = hidden(model["weights"], stream.take(places), model["classes"], skip)
+            h, _ = hidden(weights, stream.take(places), model["classes"], skip)
             places = places[:, skip:].take(scored)
             target = stream.take(places + 1)
-            log, begin, _ = outputs(model["weights"], h.reshape(-1, WIDTH).take(scored, axis=0), model["classes"].take(target))
+            log, begin, _ = outputs(weights, _rows(h), model["classes"].take(target), scored)
             logs[places], begins[places] = log + model["shares"][target], begin
     return logs.astype(np.float64), begins.astype(np.float64)
 
@@ -478,14 +555,15 @@ SCORED = (
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = dict(shared.value)
         number = TaskContext.get().partitionId() << 33
-        cache, unseen = WordIds(model["path"], model["hot"]), np.log10(model["n"] + 0.5 * (model["v"] + 1))
+        model["weights"] = with_table(model["weights"], model["classes"])
+        words, unseen = WordIds(model["path"], model["hot"]), np.log10(model["n"] + 0.5 * (model["v"] + 1))
 
-        def scored(doc_ids: list, held: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+        def scored(doc_ids: pa.Array, held: pa.Array, cut: slice) -> pa.RecordBatch:
             nonlocal number
-            ids, lengths, counts, first, text_of = cache.texts(texts)
-            logs, begins = subword_scores(model, ids, lengths, cache.end)
+            ids, lengths, counts, first, text_of, numbers = words.portion(cut)
+            logs, begins = subword_scores(model, ids, lengths, words.end)
             run_up = np.concatenate([[0.0], np.cumsum(logs)])
             ends = np.cumsum(lengths) - 1
             after = np.append(first[1:], 0)
@@ -493,33 +571,32 @@ def _score(shared):
                 last = np.append(text_of[1:] != text_of[:-1], True)
                 after[last] = ends[text_of[last]]
             word_log = run_up[after] - run_up[first] + begins[after] - begins[first] if len(first) else np.zeros(0)
-            seen, n = counts >= 0, len(texts)
+            seen, n = counts >= 0, len(lengths)
             by_text = lambda x: np.bincount(text_of[seen], weights=x, minlength=n)
             end_c = np.full(n, float(model["ends"]))
             known = by_text(counts[seen] > 0).astype(np.int64) + (model["ends"] > 0)
             base = by_text(np.log10(counts[seen] + 0.5) - unseen) + np.log10(end_c + 0.5) - unseen
             score = by_text(mixed_log10(model, counts[seen], word_log[seen])) + mixed_log10(model, end_c, logs[ends] - begins[ends])
-            words = [w for ws in texts for w in ws]
             cold = np.flatnonzero(~seen)
             cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text_of[cold], minlength=n))]).astype(np.int32))
-            tokens = np.fromiter(map(len, texts), dtype=np.int64, count=n) + 1
+            colds = words.different.take(pa.array(numbers[cold])).cast(pa.string())
             columns = [
-                pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.arange(number, number + n)), pa.array(tokens), pa.array(known),
-                pa.array(base), pa.array(score), pa.ListArray.from_arrays(cuts, pa.array([words[j] for j in cold], pa.binary()).cast(pa.string())),
+                doc_ids.cast(pa.int64()), held, pa.array(np.arange(number, number + n)), pa.array(words.per_text[cut] + 1), pa.array(known),
+                pa.array(base), pa.array(score), pa.ListArray.from_arrays(cuts, colds),
                 pa.ListArray.from_arrays(cuts, pa.array(word_log[cold])),
             ]
             number += n
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "words", "logs"])
 
         for batch in batches:
-            doc_ids, texts, held = (c.to_pylist() for c in batch.columns)
-            pending, size, start = [], 0, 0
-            for i, text in enumerate(texts):  # some documents at a time, so that memory is bounded
-                pending.append(words_of(text))
-                size += len(pending[-1]) + 1
-                if size >= AT_A_TIME // 3 or i == len(texts) - 1:
-                    yield scored(doc_ids[start : i + 1], held[start : i + 1], pending)
-                    pending, size, start = [], 0, i + 1
+            doc_ids, texts, held = batch.columns
+            start = 0
+            for piece in pieces(texts, ENCODED):
+                words.meet(*words_of_all(piece))
+                for cut in portions(words.per_text):
+                    own = start + cut.start, cut.stop - cut.start
+                    yield scored(doc_ids.slice(*own), held.slice(*own), cut)
+                start += len(piece)
 
     return run
 
